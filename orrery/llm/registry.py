@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import packing, quality_rules
 
-QUERIES = {"op10_quality_cascade": quality_rules.op10_quality_cascade}
+QUERIES = {"op2_best_fit_packing": packing.op2_best_fit_packing, "op10_quality_cascade": quality_rules.op10_quality_cascade}
 SQL = {"op10_quality_cascade": quality_rules.SQL_OP10}
