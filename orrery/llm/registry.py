@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, quality_rules
+from . import mixing, packing, quality_rules
 
-QUERIES = {"op2_best_fit_packing": packing.op2_best_fit_packing, "op10_quality_cascade": quality_rules.op10_quality_cascade}
+QUERIES = {"op1_mix_sources": mixing.op1_mix_sources, "op2_best_fit_packing": packing.op2_best_fit_packing, "op10_quality_cascade": quality_rules.op10_quality_cascade}
 SQL = {"op10_quality_cascade": quality_rules.SQL_OP10}
