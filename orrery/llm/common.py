@@ -166,7 +166,7 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     if not n:
         return np.zeros(0, np.uint64)
     w, m = min(width, n), max(1, n - width + 1)
-    total = np.full(m, np.uint64(w) * np.uint64(0xA0761D6478BD642F), np.uint64)
+    total = np.full(m, w * 0xA0761D6478BD642F % 2**64, np.uint64)
     for i in range(w):
         total = (total ^ words[i : i + m]) * np.uint64(0x9E3779B97F4A7C15)
         total ^= total >> np.uint64(29)
