@@ -20,7 +20,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Texts, checkpointed, mix, small_batches, steps, stored, table, word_spans
@@ -137,3 +137,26 @@ def mix_sources(
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(spark, table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def mix_documents(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """``docs`` as the mix takes them: a document stands once for each time it is taken, its text cut after the last
+    word taken where that is part of it; documents that aren't taken are gone. Rows that repeat an id share what they
+    are taken, in the order of their sizes."""
+    taken = mix_sources(spark, docs, key, text, source, **options).select("doc_id", "source", "size", "taken")
+    order = Window.partitionBy("doc_id", "source", "size").orderBy("taken")
+    taken = taken.filter("taken > 0").withColumn("nth", F.row_number().over(order))
+    size = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    own = docs.withColumn("_size", size)
+    own = own.withColumn("_nth", F.row_number().over(Window.partitionBy(key, source, "_size").orderBy(text)))
+    match = (
+        own[key].cast("long").eqNullSafe(taken["doc_id"])
+        & own[source].cast("string").eqNullSafe(taken["source"])
+        & (own["_size"] == taken["size"])
+        & (own["_nth"] == taken["nth"])
+    )
+    joined = own.join(taken, match).select(*[own[c] for c in docs.columns], taken["size"].alias("_size"), taken["taken"].alias("_taken"))
+    copies = joined.withColumn("_words", F.explode(F.transform(F.sequence(F.lit(0), F.expr("int((_taken - 1) div _size)")), lambda i: F.least(F.col("_size"), F.col("_taken") - i * F.col("_size")))))
+    cut = F.regexp_extract(F.col(text), F.concat(F.lit(r"(?s)\A((?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("_words").cast("string"), F.lit("})")), 1)
+    short = F.when(F.col("_words") < F.col("_size"), cut).otherwise(F.col(text))
+    return copies.select(*[short.alias(c) if c == text else F.col(c) for c in docs.columns])
