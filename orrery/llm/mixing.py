@@ -15,6 +15,8 @@ gives no rows. Columns other than those named are carried along untouched by ``m
 
 from __future__ import annotations
 
+import itertools
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -156,7 +158,23 @@ def mix_documents(spark: SparkSession, docs: DataFrame, key: str = "doc_id", tex
         & (own["_nth"] == taken["nth"])
     )
     joined = own.join(taken, match).select(*[own[c] for c in docs.columns], taken["size"].alias("_size"), taken["taken"].alias("_taken"))
-    copies = joined.withColumn("_words", F.explode(F.transform(F.sequence(F.lit(0), F.expr("int((_taken - 1) div _size)")), lambda i: F.least(F.col("_size"), F.col("_taken") - i * F.col("_size")))))
-    cut = F.regexp_extract(F.col(text), F.concat(F.lit(r"(?s)\A((?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("_words").cast("string"), F.lit("})")), 1)
-    short = F.when(F.col("_words") < F.col("_size"), cut).otherwise(F.col(text))
-    return copies.select(*[short.alias(c) if c == text else F.col(c) for c in docs.columns])
+    names, at = docs.columns, docs.columns.index(text)
+
+    def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, texts = [], []
+            for i, (body, size_, left) in enumerate(zip(*[b.column(c).to_pylist() for c in (text, "_size", "_taken")], strict=True)):
+                while left > 0:
+                    row.append(i)
+                    texts.append(body if left >= size_ else _first_words(body, left))
+                    left -= size_
+            out = b.take(pa.array(row, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*out.columns[:at], pa.array(texts, pa.string()), *out.columns[at + 1 : len(names)]], names)
+
+    return joined.mapInArrow(copies, docs.schema)
+
+
+def _first_words(text: str, n: int) -> str:
+    """``text`` up to the end of its n-th word."""
+    words = re.finditer(r"[^\x20\x09-\x0D]+", text)
+    return text[: next(itertools.islice(words, n - 1, None)).end()]
