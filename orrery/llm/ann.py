@@ -114,7 +114,8 @@ def _vectors(column: pa.Array) -> np.ndarray:
 
 
 def _rerank(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by shard, its entries first: each query's k best entries of the cells that it visits there."""
+    """From rows sorted by shard, its entries first: each query's k best entries of the cells that it visits there, but
+    for those below its bound, which k others already exceed."""
     shard, parts, entries = None, [], None
     for b in batches:
         shards, is_query = b.column("shard").to_numpy(), b.column("is_query").to_numpy(zero_copy_only=False)
@@ -138,7 +139,7 @@ def _rerank(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
             q = _vectors(part.column("vector"))
             out: list[list[np.ndarray]] = [[], [], []]
             rough = q @ x.T
-            for i, (me, cells) in enumerate(zip(part.column("id").to_pylist(), part.column("cells").to_pylist(), strict=True)):
+            for i, (me, cells, bound) in enumerate(zip(*[part.column(c).to_pylist() for c in ("id", "cells", "bound")], strict=True)):
                 pick = [np.arange(*span[c]) for c in cells if c in span]
                 if not pick:
                     continue
@@ -148,6 +149,7 @@ def _rerank(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
                     s = rough[i, pick]
                     pick = pick[s >= np.partition(s, -k)[-k] - 1e-9 * (1 + np.abs(s).max())]
                 score = (x[pick] * q[i]).sum(axis=1)
+                pick, score = pick[score >= bound], score[score >= bound]
                 best = np.lexsort((ids[pick], -score))[:k]
                 out[0].append(np.full(len(best), me))
                 out[1].append(ids[pick][best])
@@ -186,13 +188,12 @@ def nearest(spark: SparkSession, rows: DataFrame, key: str = "vec_id", vector: s
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(index.shard[cell] + salt % index.shards[cell])], ["id", "cell", "vector", "shard"])
 
     dealt = entries.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(1 << 40))).mapInArrow(deal, "id long, cell long, vector binary, shard long")
-    dealt = dealt.selectExpr("shard", "false AS is_query", "id", "cell", "vector", "cast(null AS array<long>) AS cells")
+    dealt = dealt.selectExpr("shard", "false AS is_query", "id", "cell", "vector", "cast(null AS array<long>) AS cells", "cast(null AS double) AS bound")
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
-            bounds = b.column("bound").to_pylist() if "bound" in b.schema.names else [None] * b.num_rows
-            for me, raw, bound in zip(b.column("id").to_pylist(), b.column("vector").to_pylist(), bounds, strict=True):
+            for me, raw, bound in zip(*[b.column(c).to_pylist() for c in ("id", "vector", "bound")], strict=True):
                 q = np.frombuffer(raw, np.float64)
                 cells = index.walk(q, FIRST)
                 if bound is not None:
@@ -201,21 +202,22 @@ def nearest(spark: SparkSession, rows: DataFrame, key: str = "vec_id", vector: s
                 for c in cells:
                     for s in range(index.shards[c]):
                         by.setdefault(int(index.shard[c]) + s, []).append(c)
-                out += [(s, me, raw, own) for s, own in by.items()]
-            s, me, raw, own = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(me, pa.int64()), pa.array(raw, pa.binary()), pa.array(own, pa.list_(pa.int64()))], ["shard", "id", "vector", "cells"])
+                out += [(s, me, raw, own, float("-inf") if bound is None else bound) for s, own in by.items()]
+            cols = list(zip(*out, strict=True)) or [()] * 5
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["shard", "id", "vector", "cells", "bound"])
 
     def search(queries: DataFrame) -> DataFrame:
-        asked = queries.mapInArrow(visit, "shard long, id long, vector binary, cells array<long>")
-        both = dealt.unionByName(asked.selectExpr("shard", "true AS is_query", "id", "cast(null AS long) AS cell", "vector", "cells"))
+        asked = queries.mapInArrow(visit, "shard long, id long, vector binary, cells array<long>, bound double")
+        both = dealt.unionByName(asked.selectExpr("shard", "true AS is_query", "id", "cast(null AS long) AS cell", "vector", "cells", "bound"))
         both = both.repartition("shard").sortWithinPartitions("shard", "is_query")
         return both.mapInArrow(lambda it: _rerank(it, k), "query_id long, vec_id long, score double")
 
-    queries = entries.filter(F.expr(is_query.replace("vec_id", "id"))).select("id", "vector")
+    queries = entries.filter(F.expr(is_query.replace("vec_id", "id"))).select("id", "vector", F.lit(None).cast("double").alias("bound"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     first = stored(search(queries).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k), spark)
     bound = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("bound"))
-    more = search(queries.join(bound.withColumnRenamed("query_id", "id"), "id", "left").select("id", "vector", F.coalesce("bound", F.lit(float("-inf"))).alias("bound")))
+    more = search(queries.drop("bound").join(bound.withColumnRenamed("query_id", "id"), "id", "left").select("id", "vector", F.coalesce("bound", F.lit(float("-inf"))).alias("bound")))
     found = first.select("query_id", "vec_id", "score").unionByName(more).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
