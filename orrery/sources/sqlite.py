@@ -70,12 +70,12 @@ class SqliteTable(DataSource):
         return ", ".join(f"`{name}` {_type(kind)}" for _, name, kind, *_ in columns)
 
     def reader(self, schema) -> DataSourceReader:
-        return SqliteReader(self.options["path"], self.options["table"], schema)
+        return SqliteReader(self.options["path"], self.options["table"], schema, int(self.options.get("partitionrows", PARTITION_ROWS)))
 
 
 class SqliteReader(DataSourceReader):
-    def __init__(self, path: str, table: str, schema):
-        self.path, self.table, self.columns = path, table, schema.names
+    def __init__(self, path: str, table: str, schema, rows: int):
+        self.path, self.table, self.columns, self.rows = path, table, schema.names, rows
         self.kinds = [f.dataType.typeName() for f in schema.fields]
         self.where: list[tuple[str, object]] = []
 
@@ -90,7 +90,7 @@ class SqliteReader(DataSourceReader):
             low, high = c.execute(f"SELECT min(rowid), max(rowid) FROM {_quoted(self.table)}").fetchone()
         if low is None:
             return [RowRange(0, 0)]
-        return [RowRange(a, min(a + PARTITION_ROWS, high + 1)) for a in range(low, high + 1, PARTITION_ROWS)]
+        return [RowRange(a, min(a + self.rows, high + 1)) for a in range(low, high + 1, self.rows)]
 
     def read(self, partition: RowRange) -> Iterator[tuple]:
         names = ", ".join(map(_quoted, self.columns))
@@ -102,7 +102,8 @@ class SqliteReader(DataSourceReader):
                 yield tuple(None if v is None else f(v) for f, v in zip(convert, row, strict=True))
 
 
-def read_table(spark: SparkSession, path: str | Path, table: str) -> DataFrame:
+def read_table(spark: SparkSession, path: str | Path, table: str, partition_rows: int = PARTITION_ROWS) -> DataFrame:
     require_tables(path, table)
     spark.dataSource.register(SqliteTable)
-    return spark.read.format("sqlite_table").option("path", str(path)).option("table", table).load()
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return spark.read.format("sqlite_table").option("path", str(path)).option("table", table).option("partitionRows", partition_rows).load()
