@@ -114,13 +114,13 @@ class Projection:
             raise CoordinateError("rows differ in dimensions")
         d, r = s["hi_x"], s["hi_y"]
         names = checked_names(relation_names, r)
-        median, scale = robust_scale(rows, [F.get("y", F.lit(i)) for i in range(r)], minimum_relation_scale)
-        scaled = rows.select("x", V.scaled(F.col("y"), median, scale).alias("y"))
-        n, sums, _, _ = cross_products(scaled, "x", "y", d)
+        median, scale = (np.array(v) for v in robust_scale(rows, [F.get("y", F.lit(i)) for i in range(r)], minimum_relation_scale, rows=s["n"]))
+        n, sums, _, _ = cross_products(rows, "x", "y", d)
         x_mean, y_mean = sums[:d] / n, sums[d:] / n
-        _, _, gram, cross = cross_products(scaled, "x", "y", d, x_mean, y_mean)
-        weights = solve(gram, cross, alpha)
-        return cls(weights.T, y_mean - x_mean @ weights, median, scale, x_mean, float(alpha), names)
+        _, _, gram, cross = cross_products(rows, "x", "y", d, x_mean, y_mean)
+        # scaling the coordinates scales their means and products: no pass over scaled rows is needed
+        weights = solve(gram, cross / scale, alpha)
+        return cls(weights.T, (y_mean - median) / scale - x_mean @ weights, median, scale, x_mean, float(alpha), names)
 
     def column(self, embedding: Column) -> Column:
         """Relation coordinates as built-in expressions; for wide embeddings or many rows see ``project``."""

@@ -15,7 +15,7 @@ DIRECT_ROWS = 5_000_000
 MERGE_TASKS = 16
 
 
-def percentiles(df: DataFrame, columns: Sequence[Column], shares: Sequence[float], direct_rows: int = DIRECT_ROWS) -> list[list[float]]:
+def percentiles(df: DataFrame, columns: Sequence[Column], shares: Sequence[float], direct_rows: int = DIRECT_ROWS, rows: int | None = None) -> list[list[float]]:
     """For each column its exact, linearly interpolated percentiles; nulls don't count.
 
     Larger tables are narrowed down: approximate percentiles bracket each wanted rank, one pass counts what lies below
@@ -26,6 +26,7 @@ def percentiles(df: DataFrame, columns: Sequence[Column], shares: Sequence[float
     if max(counts, default=0) <= direct_rows:
         row = named.agg(*[F.percentile(c, list(shares)).alias(c) for c in named.columns]).head()
         return [list(row[c]) if row[c] is not None else [None] * len(shares) for c in named.columns]
+    counts = named.agg(*[F.count(c).alias(c) for c in named.columns]).head()
     return [[_ranked(named, c, counts[c], s, direct_rows) for s in shares] for c in named.columns]
 
 
@@ -55,9 +56,9 @@ def _ranked(named: DataFrame, c: str, n: int, share: float, direct_rows: int) ->
     return named.agg(F.percentile(c, at / max(1, n - 1))).head()[0]  # the bracket missed the rank
 
 
-def robust_scale(df: DataFrame, columns: Sequence[Column], minimum: float = 1.0) -> tuple[list[float], list[float]]:
+def robust_scale(df: DataFrame, columns: Sequence[Column], minimum: float = 1.0, rows: int | None = None) -> tuple[list[float], list[float]]:
     """Medians, and interquartile ranges of at least ``minimum``."""
-    found = percentiles(df, columns, (0.5, 0.25, 0.75))
+    found = percentiles(df, columns, (0.5, 0.25, 0.75), rows=rows)
     return [m for m, _, _ in found], [max(b - a, minimum) for _, a, b in found]
 
 

@@ -124,8 +124,8 @@ def cross_product(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def planar_model(spark: SparkSession, sf: str) -> Projection:
-    rows = planar(spark, sf).join(coordinates(spark, sf).select(F.col("doc_id").alias("vec_id"), F.slice("relation", 1, 1).alias("relation")), "vec_id")
-    return Projection.fit(rows, alpha=1.0, relation_names=["characters"])
+    characters = read(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), F.array(F.col("n_chars").cast("double")).alias("relation"))
+    return Projection.fit(planar(spark, sf).join(characters, "vec_id"), alpha=1.0, relation_names=["characters"])
 
 
 def ridge_fit_2d(spark: SparkSession, sf: str) -> DataFrame:
