@@ -19,18 +19,15 @@ from pyspark.sql import functions as F
 
 from .common import stored, table
 
-SPACES = " \t\n\x0b\x0c\r"
-WORD = r"[^\x20\x09-\x0D]+"
-SYMBOLS = "#*$%&|<>"
-CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+SPACE, WORD, SYMBOL = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]+", "[#*$%&|<>]"
 #: Words in a window whose repeats count.
 WINDOW = 5
 #: Documents that the rules are timed on.
 SAMPLE_ROWS = 2000
 
 
-def _without(text: Column, letters: str) -> Column:
-    return F.length(F.translate(text, letters, ""))
+def _count(text: Column, pattern: str) -> Column:
+    return F.regexp_count(text, F.lit(pattern)).cast("long")
 
 
 def words(text: Column) -> Column:
@@ -69,16 +66,16 @@ def _with(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def measures(text: Column) -> dict[str, Column]:
-    """The counts that rules may ask for, each a column on its own."""
+def measures(text: Column, word: Column | None = None) -> dict[str, Column]:
+    """The counts that rules may ask for, each a column on its own; ``word`` is the text's words, where they are at hand."""
     text = F.coalesce(text, F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
-    word = words(text)
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
+    word = words(text) if word is None else word
     return {
         "n_words": F.size(word).cast("long"),
-        "word_chars": _without(text, SPACES).cast("long"),
-        "n_symbols": (F.length(text) - _without(text, SYMBOLS)).cast("long"),
-        "n_capitals": (F.length(text) - _without(text, CAPITALS)).cast("long"),
+        "word_chars": F.length(text) - _count(text, SPACE),
+        "n_symbols": _count(text, SYMBOL),
+        "n_capitals": _count(text, "[A-Z]"),
         "n_lines": F.size(lines).cast("long"),
         "n_dup_lines": _with(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
         "n_repeat_words": _with(word, repeat_words),
@@ -129,16 +126,15 @@ def passes(rules, m: Mapping[str, Column]) -> Column:
 
 def quality_filter(spark: SparkSession, docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without the rows that a rule rejects."""
-    return docs.filter(passes(cascade(spark, docs, text), measures(docs[text])))
+    rules = cascade(spark, docs, text)
+    return docs.filter(_with(words(docs[text]), lambda w: passes(rules, measures(docs[text], w))))
 
 
 def op10_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     order = cascade(spark, docs)
-    cols = measures(F.col("text"))
     out = docs.select("doc_id", "text", words(F.col("text")).alias("_words"))
-    cols["n_words"] = F.size("_words").cast("long")
-    cols["n_repeat_words"] = repeat_words(F.col("_words"))
+    cols = measures(F.col("text"), F.col("_words")) | {"n_repeat_words": repeat_words(F.col("_words"))}
     out = out.select("doc_id", *[c.alias(n) for n, c in cols.items()])
     m = {n: F.col(n) for n in cols}
     base = [r for r in order if r.name in BASE_RULES]
