@@ -21,15 +21,13 @@ from ..operators.projection import Projection
 from ..operators.search import search, search_many
 from ..operators.statistics import cross_products, percentiles, robust_scale
 from ..sources.caches import contract_report
+from ..sources.tables import read_parquet as read
+from ..sources.tables import spread
 
 RELATIONS = 3
 PLACES = 6
 
 
-def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
-
 def embeddings(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), "label")
 
@@ -44,7 +42,7 @@ def words(text: str = "text") -> Column:
 
 
 def coordinates(spark: SparkSession, sf: str) -> DataFrame:
-    docs = read(spark, sf, "documents").select("doc_id", "n_chars", words().alias("w"))
+    docs = spread(read(spark, sf, "documents").select("doc_id", "n_chars", "text")).select("doc_id", "n_chars", words().alias("w"))
     return docs.select("doc_id", F.array(F.col("n_chars").cast("double"), F.size("w").cast("double"), F.size(F.array_distinct("w")).cast("double")).alias("relation"))
 
 
