@@ -11,6 +11,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shipping import ship
+from ..sources.tables import read_parquet, spread
+
 #: Bytes of text that one vectorised step looks at; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
 #: Rows in an Arrow batch; keeps batches of long texts small.
@@ -18,7 +21,7 @@ BATCH_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(read_parquet(spark, sf_dir, name))
 
 
 _own_dirs: dict[str, str] = {}
@@ -54,6 +57,8 @@ def checkpointed(df: DataFrame, spark: SparkSession) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """What every operator that runs Python on executors begins with: the sources are there, and batches are small."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
