@@ -44,11 +44,21 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, spark: SparkSession) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: the lineage ends there, and any
     executor may be lost afterwards. Row groups are small, so that later scans split evenly."""
-    path = f"{shared_dir(spark)}/orrery/{uuid.uuid4().hex}"
+    path = f"{_stored_dir(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _stored_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/orrery/{spark.sparkContext.applicationId}"
+
+
+def tidy(spark: SparkSession) -> None:
+    """Delete what this application has stored, once no table that is made of it is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_stored_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpointed(df: DataFrame, spark: SparkSession) -> DataFrame:
     """A reliable checkpoint: the partitions, and the rows' order in them, stay as they are."""
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():

@@ -8,7 +8,8 @@ A document is the set of its 5-word shingles; two are linked if the sets' Jaccar
    that similarity. The join finds *all* pairs at signature distance <= 33: split into 17 chunks, some chunk of such a
    pair has at most one error, and for each chunk every node enumerates the keys that leave one symbol out.
 3. Keys of one node are dropped. Those of a few nodes give pairs, those of many give memberships, and the nodes of such
-   a key are joined by scanning (``components.scan``), which emits at most one link per node and never all pairs.
+   a key are joined by scanning (``components.scan``), which emits at most one link per node and never all pairs. A key
+   of more nodes than a task should hold links them all to one of them: more candidates than needed, and none lost.
 4. Components of those links only collect candidates: within each one, links are confirmed on full shingle sets, again
    by scanning. Components with very many shingles are scanned in rounds over all executors instead of in one task.
 
@@ -36,6 +37,8 @@ CHUNKS = 17
 DISTANCE = 33
 #: Up to so many nodes of a key are paired directly.
 PAIRED = 8
+#: Nodes of a key that one task scans. Those of a larger key are all linked as candidates, without looking at distances.
+KEY_NODES = 50_000
 #: Shingles of a candidate component that one task confirms; larger ones are confirmed in rounds by all tasks.
 TASK_SHINGLES = 4_000_000
 #: Components that one round works on, and members of each that it scans.
@@ -194,14 +197,22 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def signature_links(spark: SparkSession, nodes: DataFrame) -> DataFrame:
-    """Links (a, b) whose components are those of all pairs at signature distance <= DISTANCE. nodes: node, sig."""
+    """Links (a, b) whose components hold those of all pairs at signature distance <= DISTANCE. nodes: node, sig."""
     found = nodes.mapInArrow(_keys, "key long, node long").repartition("key").sortWithinPartitions("key")
     found = stored(found.mapInArrow(_meet, "a long, b long, key long, many boolean"), spark)
     sig = nodes.select("node", "sig")
     pairs = found.filter("not many").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").mapInArrow(_near, "a long, b long")
-    groups = found.filter("many").select("key", F.col("a").alias("node")).join(sig, "node").repartition("key").sortWithinPartitions("key", "node")
-    return pairs.unionByName(groups.mapInArrow(_span, "a long, b long"))
+    many = found.filter("many").select("key", F.col("a").alias("node"))
+    sizes = many.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first"))
+    large = stored(sizes.filter(F.col("n") > KEY_NODES).select("key", "first"), spark)
+    stars = None
+    if large.limit(1).count():
+        stars = many.join(large, "key").select(F.col("node").alias("a"), F.col("first").alias("b"))
+        many = many.join(large, "key", "left_anti")
+    groups = many.join(sig, "node").repartition("key").sortWithinPartitions("key", "node")
+    links = pairs.unionByName(groups.mapInArrow(_span, "a long, b long"))
+    return links if stars is None else links.unionByName(stars)
 
 
 def _digest(shingles: np.ndarray) -> tuple[np.uint64, np.uint64]:

@@ -52,8 +52,9 @@ def corpus(seed, n=120):
     return docs
 
 
-@pytest.mark.parametrize("seed, most", [(1, None), (2, 400)])
-def test_brute_force(spark, monkeypatch, seed, most):
+@pytest.mark.parametrize("seed, most, nodes", [(1, None, neardup.KEY_NODES), (2, 400, 12)])
+def test_brute_force(spark, monkeypatch, seed, most, nodes):
+    monkeypatch.setattr(neardup, "KEY_NODES", nodes)
     monkeypatch.setattr(neardup, "ROUND_MEMBERS", 3)
     docs = corpus(seed)
     df = spark.createDataFrame(docs, "doc_id long, text string")
