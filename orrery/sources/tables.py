@@ -20,6 +20,6 @@ def spread(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if len(df.inputFiles()) < cores and size < cores * _bytes(spark, "spark.sql.files.maxPartitionBytes"):
+    if size < cores * _bytes(spark, "spark.sql.files.maxPartitionBytes") and len(df.inputFiles()) < cores:
         return df.repartition(cores)
     return df
