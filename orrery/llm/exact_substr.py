@@ -319,3 +319,18 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, key: str = "doc_id", te
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed(spark, table(spark, sf_dir, "documents"))
+
+
+SQL_OP9 = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, hash(substr(h, 2 * p + 1, 400)) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 199)) AS p FROM d)),
+r AS (SELECT doc_id, p FROM w QUALIFY count(*) OVER (PARTITION BY s) > 1),
+n AS (SELECT doc_id, p, coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 200, true) AS new FROM r),
+g AS (SELECT doc_id, p, sum(new::INTEGER) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM n),
+x AS (SELECT doc_id, min(p) AS a, max(p) + 200 AS z FROM g GROUP BY doc_id, g),
+e AS (SELECT doc_id, a, z FROM x UNION ALL SELECT doc_id, len(h) // 2, len(h) // 2 FROM d),
+k AS (SELECT e.doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY e.doc_id ORDER BY a, z), 0) AS before, h FROM e JOIN d ON d.doc_id = e.doc_id)
+SELECT doc_id, max(len(h) // 2)::BIGINT AS n_bytes, sum(z - a)::BIGINT AS n_removed, (count(*) - 1)::BIGINT AS n_spans,
+  sha256(from_hex(string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a, z))) AS kept_sha256
+FROM k GROUP BY doc_id
+"""
