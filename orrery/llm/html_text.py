@@ -56,7 +56,7 @@ OUT_WORDS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget widgets cookie cookies consent gdpr "
     "notice notices notification banner ad ads adv advert adverts advertisement advertising sponsor sponsored promo promoted promotion "
     "form newsletter subscribe subscription signup login share sharing social related recommended comment comments reply replies "
-    "disqus discussion respond popup modal overlay toolbar pagination pager copyright legal disclaimer skip hidden".split()
+    "disqus discussion respond topbar mainmenu submenu dropdown popup modal overlay toolbar pagination pager copyright legal disclaimer skip hidden".split()
 )
 IN_TAGS = frozenset(("article", "main"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
@@ -84,11 +84,11 @@ def _out(name: str, attrs: dict[str, str]) -> bool:
 
 
 class Page:
-    """Tokens for wrappers, and blocks: (text, tokens it consists of, in an article, in a left-out element)."""
+    """Tokens for wrappers, and blocks of what isn't left out: (text, tokens it consists of, in an article)."""
 
     def __init__(self, source: str):
         self.tokens: list[tuple[str, str]] = []
-        self.blocks: list[tuple[str, list[int], bool, bool]] = []
+        self.blocks: list[tuple[str, list[int], bool]] = []
         # open elements: name, left out by itself, is an article or main
         stack: list[tuple[str, bool, bool]] = []
         parts: list[str] = []
@@ -98,7 +98,7 @@ class Page:
         def flush() -> None:
             text = " ".join("".join(parts).split())
             if text:
-                self.blocks.append((text, own.copy(), *state))
+                self.blocks.append((text, own.copy(), state[0]))
             parts.clear()
             own.clear()
 
@@ -118,10 +118,12 @@ class Page:
             text = m["text"]
             if text is not None:
                 plain = html_lib.unescape(text)
+                if not state[1]:
+                    parts.append(plain)
                 if plain.strip():
-                    own.append(len(self.tokens))
+                    if not state[1]:
+                        own.append(len(self.tokens))
                     self.tokens.append(("text", " ".join(plain.split())))
-                parts.append(plain)
                 continue
             name = m["name"]
             if name is None:
@@ -174,7 +176,7 @@ class Page:
         flush()
 
     def text(self, wrapper: list | None = None) -> str:
-        kept = [b for b in self.blocks if not b[3]]
+        kept = self.blocks
         if any(b[2] for b in kept):
             kept = [b for b in kept if b[2]]
         elif wrapper:

@@ -34,6 +34,7 @@ def test_roles():
     assert html_text.extract("just text &amp; more") == "just text & more"
     assert html_text.extract("<nav>menu<article><p>body</article>") == "body"
     assert html_text.extract("<p>a<script>never closed") == "a"
+    assert html_text.extract("<article><p>a <button>b</button><span class='ad'>c <b>d</b></span> e</p></article>") == "a e"
     assert html_text.extract("<div class='content'>" * 500 + "deep") == "deep"
 
 
