@@ -2,8 +2,8 @@
 
 Pages become streams of tags and texts. Elements whose tag, role or class says so (navigation, headers, footers, sidebars,
 notices, adverts, forms, scripts, comments of readers) are left out; in a page with an ``article`` or ``main`` element
-the text is inside of it. Other pages have no such mark, and there the host's wrapper (``wrappers``) tells what stands
-in every page, and so belongs to the template, from what fills its slots.
+the text is inside of it. In all pages, the host's wrapper (``wrappers``) tells what stands in every page, and so belongs
+to the template, from what fills its slots.
 
 A wrapper is inferred from a bounded sample, the SAMPLE_PAGES pages of least url hash of each host, and needs three
 pages that differ. It holds hashes, not texts. Wrappers are sent to all tasks if their measured size allows; otherwise
@@ -179,7 +179,7 @@ class Page:
         kept = self.blocks
         if any(b[2] for b in kept):
             kept = [b for b in kept if b[2]]
-        elif wrapper:
+        if wrapper:
             fixed = wrappers.constants(wrapper, self.tokens)
             kept = [b for b in kept if not set(b[1]) <= fixed]
         return "\n\n".join(b[0] for b in kept)

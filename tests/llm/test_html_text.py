@@ -75,3 +75,13 @@ def test_odd_rows(spark):
     want = [(1, "", 0), (2, "", 0), (3, "x", 1), (4, ("w " * 50000).strip(), 99999), (5, "m", 1)]
     assert found == sorted(want * 2)
     assert html_text.main_texts(spark, df.limit(0)).collect() == []
+
+
+def test_constants_inside_articles(spark):
+    """Template texts in an article are left out by the host's wrapper, and a text that only copies share is kept."""
+    page = lambda i: f"<body><div>Top</div><article><div>About this site</div><h1>Title {i}</h1><p>Body {i}</p><div>Read more soon</div></article></body>"
+    rows = [(i, f"http://h.org/{i}", page(i)) for i in range(9)] + [(9 + i, f"http://two.org/{i}", page(i)) for i in range(2)]
+    rows += [(11 + i, f"http://copies.org/{i}", page(0)) for i in range(9)]
+    found = {r.page_id: r.text for r in html_text.main_texts(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(found[i] == f"Title {i}\n\nBody {i}" for i in range(9))
+    assert all("About this site" in found[i] for i in range(9, 20))
