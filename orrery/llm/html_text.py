@@ -2,12 +2,13 @@
 
 Pages become streams of tags and texts. Elements whose tag, role or class says so (navigation, headers, footers, sidebars,
 notices, adverts, forms, scripts, comments of readers) are left out; in a page with an ``article`` or ``main`` element
-the text is inside of it. In all pages, the host's wrapper (``wrappers``) tells what stands in every page, and so belongs
-to the template, from what fills its slots.
+the text is inside of it. In all pages, the host's wrappers (``wrappers``) tell what stands in every page of a template,
+and so belongs to it, from what fills its slots.
 
-A wrapper is inferred from a bounded sample, the SAMPLE_PAGES pages of least url hash of each host, and needs three
-pages that differ. It holds hashes, not texts. Wrappers are sent to all tasks if their measured size allows; otherwise
-pages are joined with them by host and salt, so that a hot host's pages are dealt out.
+Wrappers are inferred over all pages of a host whose texts differ, in groups of about the square root of the largest
+host's pages, and those of the groups are then aligned with each other: one wrapper for each template that three or more
+pages follow. They hold hashes, not texts. Wrappers are sent to all tasks if their measured size allows; otherwise pages
+are joined with them by host and salt, so that a hot host's pages are dealt out.
 
 Defined cases: null or empty html and pages without text give an empty text; a null url is a host of its own, without
 wrapper; unclosed elements end with what encloses them; texts may have any length; repeated pages are extracted one by
@@ -18,18 +19,20 @@ from __future__ import annotations
 
 import html as html_lib
 import json
+import math
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wrappers
 from .common import small_batches, stored, table
 from .urls import host_and_path
 
-SAMPLE_PAGES = 6
+#: A task keeps parsed wrappers of so many characters in all.
+PARSED_CHARS = 4 << 20
 #: Wrappers are sent to every task up to so many characters in all.
 SENT_CHARS = 16 << 20
 SALTS = 32
@@ -175,38 +178,52 @@ class Page:
             state = now()
         flush()
 
-    def text(self, wrapper: list | None = None) -> str:
+    def text(self, templates: list | None = None) -> str:
         kept = self.blocks
         if any(b[2] for b in kept):
             kept = [b for b in kept if b[2]]
-        if wrapper:
-            fixed = wrappers.constants(wrapper, self.tokens)
+        if templates:
+            fixed = wrappers.constants(templates, self.tokens)
             kept = [b for b in kept if not set(b[1]) <= fixed]
         return "\n\n".join(b[0] for b in kept)
 
 
-def extract(source: str | None, wrapper: list | None = None) -> str:
-    return Page(source).text(wrapper) if source else ""
+def extract(source: str | None, templates: list | None = None) -> str:
+    return Page(source).text(templates) if source else ""
 
 
-def _infer(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-    """A host's wrapper, from its sampled pages; those of equal text are one page."""
-    pages, seen = [], set()
-    for source in rows.column("html").to_pylist():
-        page = Page(source or "")
-        text = page.text()
-        if text and text not in seen:
-            seen.add(text)
-            pages.append(page.tokens)
-    found = wrappers.infer(pages) if len(pages) >= wrappers.LEAST_PAGES else None
-    return pa.table({"host": pa.array([key[0].as_py()] if found else [], pa.string()), "wrapper": pa.array([json.dumps(found)] if found else [], pa.string())})
+def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages as a wrapper's nodes, and a hash of their text; pages without text are left out."""
+    for b in batches:
+        out: tuple[list, list, list] = ([], [], [])
+        for host, source in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
+            page = Page(source)
+            if text := page.text():
+                for to, v in zip(out, (host, wrappers.text_hash(text) - (1 << 63), json.dumps(wrappers.nodes_of(page.tokens))), strict=True):
+                    to.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], ["host", "page", "nodes"])
+
+
+def _aligned(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+    """The wrappers of a group, from those of its pages or groups, and how many pages follow each."""
+    found: list = []
+    for nodes, n, _ in sorted(zip(*(rows.column(c).to_pylist() for c in ("nodes", "n", "page")), strict=True), key=lambda r: (-r[1], r[2], r[0])):
+        wrappers.fold(found, _tuples(json.loads(nodes)), n)
+    columns = [[key[0].as_py()] * len(found), [json.dumps(w) for w, _ in found], [n for _, n in found], list(range(len(found)))]
+    return pa.table({c: pa.array(v, t) for c, v, t in zip(("host", "nodes", "n", "page"), columns, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)})
 
 
 def host_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper as JSON). pages: host, url, html."""
-    least = Window.partitionBy("host").orderBy(F.xxhash64("url"), "url", F.xxhash64("html"))
-    sample = pages.filter("host <> '' AND html IS NOT NULL").withColumn("rank", F.row_number().over(least)).filter(F.col("rank") <= SAMPLE_PAGES)
-    return sample.select("host", "html").groupBy("host").applyInArrow(_infer, "host string, wrapper string")
+    """(host, its wrappers as JSON). pages: host, html."""
+    schema = "host string, nodes string, n long, page long"
+    parsed = pages.filter("host <> '' AND html <> ''").select("host", "html").mapInArrow(_nodes, "host string, page long, nodes string")
+    parsed = stored(parsed.groupBy("host", "page").agg(F.min("nodes").alias("nodes")), pages.sparkSession)
+    most = parsed.groupBy("host").count().agg(F.max("count")).head()[0] or 1
+    group = F.pmod(F.xxhash64("page"), F.lit(math.isqrt(most - 1) + 1)).alias("group")
+    parts = parsed.select("host", group, "nodes", F.lit(1).cast("long").alias("n"), "page")
+    parts = parts.groupBy("host", "group").applyInArrow(_aligned, schema)
+    found = parts.groupBy("host").applyInArrow(_aligned, schema).filter(F.col("n") >= wrappers.LEAST_PAGES)
+    return found.groupBy("host").agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("n"), "page", "nodes"))), lambda x: x["nodes"]), ","), F.lit("]")).alias("wrapper"))
 
 
 def main_texts(spark: SparkSession, pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", sent_chars: int = SENT_CHARS) -> DataFrame:
@@ -223,13 +240,15 @@ def main_texts(spark: SparkSession, pages: DataFrame, key: str = "page_id", url:
         rows = rows.withColumn("salt", F.pmod(F.xxhash64("url", "page_id"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None)
+        parsed: dict[str, list] = {}
         for b in batches:
             texts = []
             for source, wrapper in zip(b.column("html").to_pylist(), b.column("wrapper").to_pylist(), strict=True):
-                if wrapper != last[0]:
-                    last = wrapper, json.loads(wrapper) if wrapper else None
-                texts.append(extract(source, _tuples(last[1]) if last[1] else None))
+                if wrapper and wrapper not in parsed:
+                    if sum(map(len, parsed)) + len(wrapper) > PARSED_CHARS:
+                        parsed.clear()
+                    parsed[wrapper] = [_tuples(w) for w in json.loads(wrapper)]
+                texts.append(extract(source, parsed[wrapper] if wrapper else None))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return rows.select("page_id", "url", "html", "wrapper").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -4,7 +4,8 @@ A wrapper is a list of nodes: ("tag", name), ("text", hash or None, n), ("opt",
 a hash has been the same in n pages, one with None is a slot. Only what LEAST_PAGES or more pages share counts as a
 constant, so a text that one page has in addition never does. Aligning a page with a wrapper resolves each mismatch: two texts
 make a slot; a tag that starts over what has just been matched makes a repeated group; else what one side has in
-addition, up to the tag that the other side stands at, becomes optional.
+addition, up to the tag that the other side stands at, becomes optional. Wrappers of parts of a host's pages are aligned
+with each other by the same rules; pages that no rule can align are of different templates, with a wrapper each.
 """
 
 from __future__ import annotations
@@ -94,16 +95,28 @@ def collapse(nodes: list[Node]) -> list[Node]:
     return out
 
 
+def _met(node: Node, part: list[Node]) -> Node:
+    """The optional or repeated node after a part that it consumes: texts of an option are counted or become slots."""
+    body = align(node[1], part) if node[0] == "opt" and part else None
+    return node if body is None else ("opt", body)
+
+
 def align(wrapper: list[Node], page: list[Node]) -> list[Node] | None:
     """The wrapper made to fit the page as well; None if no rule resolves a mismatch."""
     out: list[Node] = []
     i = j = 0
     while i < len(wrapper) or j < len(page):
         w, p = wrapper[i] if i < len(wrapper) else None, page[j] if j < len(page) else None
+        if w and p and w[0] == p[0] and w[0] in ("rep", "opt"):
+            body = align(w[1], p[1])
+            if body is not None:
+                out.append((w[0], general(body) if w[0] == "rep" else body))
+                i, j = i + 1, j + 1
+                continue
         if w and w[0] in ("rep", "opt"):
             to = consume([w], page, j)
             if to >= 0:
-                out.append(w)
+                out.append(_met(w, page[j:to]))
                 i, j = i + 1, to
                 continue
             once = consume(w[1], page, j)
@@ -112,6 +125,11 @@ def align(wrapper: list[Node], page: list[Node]) -> list[Node] | None:
             out.append(w if w[0] == "opt" else ("opt", [w]))
             i += 1
             continue
+        if p and p[0] in ("rep", "opt"):  # the page is a wrapper, too
+            to = consume([p], wrapper, i)
+            out.append(_met(p, wrapper[i:to]) if to >= 0 else ("opt", [p]))
+            i, j = max(i, to), j + 1
+            continue
         if w and p and w[0] == p[0] == "text":
             out.append(("text", w[1], w[2] + p[2]) if w[1] == p[1] else ("text", None, 0))
             i, j = i + 1, j + 1
@@ -167,27 +185,40 @@ def align(wrapper: list[Node], page: list[Node]) -> list[Node] | None:
     return out
 
 
-def infer(pages: list[list[tuple[str, str]]]) -> list[Node] | None:
-    """The wrapper of several pages' tokens. Pages that no rule can align with the others are left out; None if fewer
-    than three fit, which is too little to tell constants from content."""
-    nodes = [nodes_of(p) for p in pages]
-    wrapper, fit = None, 0
-    for n in nodes:
-        new = collapse(n) if wrapper is None else align(wrapper, n)
+def fold(found: list[tuple[list[Node], int]], nodes: list[Node], n: int = 1) -> None:
+    """Aligns a page, or the wrapper of n pages, with the first of ``found`` (wrapper, pages) that a rule can align it
+    with; what fits none is a template of its own."""
+    for x, (wrapper, fit) in enumerate(found):
+        new = align(wrapper, nodes)
         if new is not None:
-            wrapper, fit = new, fit + 1
+            found[x] = new, fit + n
+            return
+    found.append((collapse(nodes), n))
+
+
+def infer(pages: list[list[tuple[str, str]]]) -> list[Node] | None:
+    """The wrapper of most of the pages' tokens; None if fewer than three fit one, which is too little to tell constants
+    from content."""
+    found: list[tuple[list[Node], int]] = []
+    for p in pages:
+        fold(found, nodes_of(p))
+    wrapper, fit = max(found, key=lambda f: f[1], default=(None, 0))
     return wrapper if fit >= LEAST_PAGES else None
 
 
-def constants(wrapper: list[Node], tokens: list[tuple[str, str]]) -> set[int]:
-    """Positions of the page's texts that are the wrapper's constants; as far as the page follows it."""
-    found: dict[int, bool] = {}
-    page, at = nodes_of(tokens), 0
-    for n in wrapper:
-        to = consume([n], page, at, found)
-        if to < 0:
-            if n[0] == "tag" or n[0] == "rep":
-                break
-            continue
-        at = to
-    return {i for i, same in found.items() if same}
+def constants(templates: list[list[Node]], tokens: list[tuple[str, str]]) -> set[int]:
+    """Positions of the page's texts that are constants of the wrapper it follows furthest."""
+    page, best = nodes_of(tokens), (-1, set())
+    for wrapper in templates:
+        found: dict[int, bool] = {}
+        at = 0
+        for n in wrapper:
+            to = consume([n], page, at, found)
+            if to < 0:
+                if n[0] == "tag" or n[0] == "rep":
+                    break
+                continue
+            at = to
+        if at > best[0]:
+            best = at, {i for i, same in found.items() if same}
+    return best[1]

@@ -85,3 +85,29 @@ def test_constants_inside_articles(spark):
     found = {r.page_id: r.text for r in html_text.main_texts(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(found[i] == f"Title {i}\n\nBody {i}" for i in range(9))
     assert all("About this site" in found[i] for i in range(9, 20))
+
+
+def test_wrappers_are_inferred_over_all_pages_of_a_host(spark):
+    """Copies don't crowd out other pages, and each of several templates has its wrapper, in whatever group its pages are."""
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdef") for _ in range(5))
+    pages = [(f"http://h.org/{i}", *bare(rnd, word)) for i in range(40)]
+    other = [word() for _ in range(4)]
+    pages += [(f"http://h.org/t{i}", f"<html><body><table><tr><td>Menu of tables</td></tr></table><blockquote>{w}</blockquote></body></html>", [w]) for i, w in enumerate(other)]
+    copy = bare(rnd, word)
+    pages += [(u, copy[0], copy[1]) for u in ("http://h.org/same",) * 50] + [(f"http://h.org/c{i}", copy[0], copy[1]) for i in range(200)]
+    df = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(pages)], "page_id long, url string, html string")
+    found = {r.page_id: r.text.split("\n\n") for r in html_text.main_texts(spark, df).collect()}
+    assert [i for i, (_, _, body) in enumerate(pages) if found[i] != body] == []
+
+
+def test_wrappers_of_many_pages_stay_small():
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choice("abcdef") for _ in range(5))
+    sizes = []
+    found = []
+    for i in range(2000):
+        wrappers.fold(found, wrappers.nodes_of(html_text.Page(bare(rnd, word)[0]).tokens))
+        if i in (99, 1999):
+            sizes.append(len(str(found)))
+    assert len(found) == 1 and sizes[1] <= 2 * sizes[0]
