@@ -130,3 +130,4 @@ p AS (SELECT g, i, sum(m * x) / greatest(sum(m), 1) AS v FROM s GROUP BY g, i)
 SELECT g, round(sum(v), 6) AS total, round(max(CASE WHEN i = 1 THEN v END), 6) AS first FROM p GROUP BY g""",
 }
 SQL["project_independent"] = SQL["project"]
+SQL["search_multi_source_20"] = SQL["search_multi_source"].replace("s.vec_id % 50 = 0", "s.vec_id % 20 = 0")

@@ -173,9 +173,12 @@ def _search(**options):
     return query
 
 
-def search_multi_source(spark: SparkSession, sf: str) -> DataFrame:
-    rows = planar(spark, sf)
-    return _hits(search_many(planar_model(spark, sf), rows.filter("vec_id % 50 = 0"), rows, k=5, candidate_pool=40))
+def _search_multi(every: int):
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        rows = planar(spark, sf)
+        return _hits(search_many(planar_model(spark, sf), rows.filter(F.col("vec_id") % every == 0), rows, k=5, candidate_pool=40))
+
+    return query
 
 
 def coordinate_search_true(spark: SparkSession, sf: str) -> DataFrame:
@@ -344,7 +347,8 @@ QUERIES = {
     "search_topk": _search(),
     "search_exclude": _search(exclude_index=0),
     "search_candidate_pool": _search(exclude_index=0, candidate_pool=100),
-    "search_multi_source": search_multi_source,
+    "search_multi_source": _search_multi(50),
+    "search_multi_source_20": _search_multi(20),
     "coordinate_search_true": coordinate_search_true,
     "hard_negative_scores": hard_negative_scores,
     "hard_negative_decision": hard_negative_decision,
