@@ -1,8 +1,8 @@
-"""The engine's registered queries, and DuckDB SQL for the same rows."""
+"""The engine's registered queries, and DuckDB SQL for the same rows; WHOLE has no SQL."""
 
 from __future__ import annotations
 
 from .plans.oracle import SQL
-from .plans.queries import QUERIES
+from .plans.queries import QUERIES, WHOLE
 
-__all__ = ["QUERIES", "SQL"]
+__all__ = ["QUERIES", "SQL", "WHOLE"]

@@ -181,6 +181,31 @@ def _search_multi(every: int):
     return query
 
 
+def whole_model(spark: SparkSession, sf: str) -> Projection:
+    """Fitted to all three relations on all dimensions."""
+    return Projection.fit(training(spark, sf), alpha=1.0, relation_names=["characters", "words", "distinct_words"])
+
+
+def ridge_fit_whole(spark: SparkSession, sf: str) -> DataFrame:
+    p = whole_model(spark, sf)
+    values = zip(p.coefficients, p.intercept, p.relation_median, p.relation_scale, strict=True)
+    rows = [(i, [round(float(v), PLACES) for v in w], *[round(float(v), PLACES) for v in rest]) for i, (w, *rest) in enumerate(values)]
+    return spark.createDataFrame(rows, "relation int, w array<double>, b double, median double, scale double")
+
+
+def _search_whole(**options):
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        rows = embeddings(spark, sf)
+        return _hits(search(whole_model(spark, sf), vector_of(rows, 0), rows, k=10, **options))
+
+    return query
+
+
+def search_whole_multi_source(spark: SparkSession, sf: str) -> DataFrame:
+    rows = embeddings(spark, sf)
+    return _hits(search_many(whole_model(spark, sf), rows.filter("vec_id % 20 = 0"), rows, k=5, candidate_pool=40))
+
+
 def coordinate_search_true(spark: SparkSession, sf: str) -> DataFrame:
     rows = coordinates(spark, sf)
     median, scale = robust_scale(rows, _columns())
@@ -366,3 +391,11 @@ QUERIES = {
     "pair_benchmark": pair_benchmark_query,
     "mean_pooling": mean_pooling,
 }
+#: Fits and searches on whole embeddings: they have no closed SQL and are tested by brute force.
+WHOLE = {
+    "ridge_fit_whole": ridge_fit_whole,
+    "search_whole_topk": _search_whole(),
+    "search_whole_exclude": _search_whole(exclude_index=0),
+    "search_whole_candidate_pool": _search_whole(exclude_index=0, candidate_pool=100),
+    "search_whole_multi_source": search_whole_multi_source,
+}
