@@ -337,9 +337,19 @@ def _only(candidates: DataFrame) -> DataFrame:
 
 
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates."""
-    gone = near_duplicates(spark, docs, key, text).filter(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(gone, key, "left_anti").select(*docs.columns)
+    """``docs`` with one document of each group of near-duplicates. Where ids are null or repeated, rows are told apart by a
+    number that follows the order of ids, nulls last."""
+    ids = docs.groupBy(F.col(key).cast("long").alias("id")).count()
+    if ids.filter("id IS NULL OR count > 1").limit(1).count():
+        number = "row"
+        while number in docs.columns:
+            number += "_"
+        rows = docs.orderBy(F.col(key).cast("long").asc_nulls_last(), F.xxhash64(text))
+        rows = stored(rows.withColumn(number, F.monotonically_increasing_id()), spark)
+    else:
+        rows, number = docs, key
+    gone = near_duplicates(spark, rows, number, text).filter(~F.col("kept")).select(F.col("doc_id").alias(number)).distinct()
+    return rows.join(gone, number, "left_anti").select(*docs.columns)
 
 
 def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

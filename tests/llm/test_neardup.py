@@ -99,3 +99,13 @@ def test_signature_distance_of_linked_sets():
         s = neardup.signatures([np.unique(x[:n]), np.unique(np.concatenate([x[:k], x[n : 2 * n - k]]))])
         far.append(int((s[0] != s[1]).sum()))
     assert max(far) <= neardup.DISTANCE and 13 < np.mean(far) < 17
+
+
+def test_filter_with_repeated_and_null_ids(spark):
+    """Of each group one row stays, whatever the ids; a row's verdict is never another row's."""
+    text = lambda w: " ".join(f"{w}{i}" for i in range(30))
+    rows = [(1, "a"), (2, "a"), (2, "b"), (3, "c"), (3, "c"), (None, "d"), (None, "d"), (None, "b"), (None, "e"), (4, "f")]
+    df = spark.createDataFrame([(i, text(w), w) for i, w in rows], "doc_id long, text string, row string")
+    found = neardup.near_duplicate_filter(spark, df)
+    assert found.columns == df.columns
+    assert sorted((r.row, r.doc_id) for r in found.collect()) == [("a", 1), ("b", 2), ("c", 3), ("d", None), ("e", None), ("f", 4)]
