@@ -114,12 +114,19 @@ def local_search(bins: dict[Pattern, int], capacity: int) -> dict[Pattern, int]:
         return True
 
     stuck: set[Pattern] = set()
+    moved = False
     while sum(bins.values()) > least:
         low = min((p for p in bins if sum(p) < capacity and p not in stuck), key=lambda p: (sum(p), p), default=None)
-        if low is None:
+        if low is not None:
+            if step(low):
+                moved = True
+            else:
+                stuck.add(low)
+        elif moved:  # what found no step may find one among the bins as they are now
+            stuck.clear()
+            moved = False
+        else:
             break
-        if not step(low):
-            stuck.add(low)
     return bins
 
 

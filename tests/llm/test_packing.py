@@ -71,3 +71,9 @@ def test_plans_hold_each_piece_once(lengths):
 
 def test_local_search_improves_a_poor_packing():
     assert sum(packing.local_search({(6, 2): 2, (4,): 2, (4, 4): 1}, 10).values()) == pytest.approx(3, abs=1)
+
+
+def test_local_search_tries_stuck_bins_again():
+    """A pattern without an improving step at first may have one after others have moved."""
+    bins = packing.local_search({(6,): 3, (7,): 2, (4,): 2}, 20)
+    assert sum(bins.values()) == 2 and sum(sum(p) * n for p, n in bins.items()) == 40
