@@ -79,3 +79,10 @@ def test_odd_rows(spark):
     assert rows(urls.judge(spark, df)) == brute(pages)
     assert rows(urls.judge(spark, df.union(df))) == brute(pages * 2)
     assert rows(urls.judge(spark, df.limit(0))) == []
+
+
+def test_scores_reach_hosts_many_links_away(spark):
+    links = spark.createDataFrame([(f"h{i}", f"h{i + 1}") for i in range(25)], "src string, dst string")
+    seeds = spark.createDataFrame([("h0", 1, 0), ("h25", 0, 1)], "host string, trusted int, blocked int")
+    found = {r.host: r for r in urls.propagate(spark, links, seeds).collect()}
+    assert all(abs(found[f"h{i}"].trust - 0.85**i) < 1e-5 and abs(found[f"h{i}"].distrust - 0.85 ** (25 - i)) < 1e-5 for i in range(26))
