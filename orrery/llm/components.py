@@ -10,22 +10,34 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
+#: Links of a node above which its minimum is sent to its links instead of the other way round.
+HEAVY = 1 << 16
+
+
+def _with_least(spark: SparkSession, links: DataFrame) -> DataFrame:
+    """``links`` (a, b) with m, the smallest b of each a."""
+    least = stored(links.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), spark)
+    heavy = least.filter(F.col("n") > HEAVY).select("a", "m")
+    if not heavy.limit(1).count():
+        return links.join(least.select("a", "m"), "a")
+    light = links.join(F.broadcast(heavy), "a", "left_anti").join(least.filter(F.col("n") <= HEAVY).select("a", "m"), "a")
+    return light.unionByName(links.join(F.broadcast(heavy), "a"))
+
 
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     """(node, root) for each node of ``links`` (a long, b long), root being the smallest node of its component.
 
-    Alternating large-star and small-star rounds. Each is a map-side-combined minimum per node and a join, so a node
-    with very many links is never one group; every round is written to the shared folder, which ends the lineage.
+    Alternating large-star and small-star rounds. Each is a map-side-combined minimum per node and a join. Nodes with
+    more than HEAVY links are joined by broadcast: n links have at most 2 n / HEAVY of them, so a star's links never
+    meet in one task. Every round is written to the shared folder, which ends the lineage.
     """
     links = stored(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), spark)
     before = None
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        large = _with_least(spark, both).filter("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).filter("a <> b").distinct()
+        small = _with_least(spark, stored(large, spark))
+        small = small.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("x")).select("x.*")
         links = stored(small.filter("a <> b").distinct(), spark)
         state = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head())
         if state == before:

@@ -13,9 +13,13 @@ A document is the set of its 5-word shingles; two are linked if the sets' Jaccar
 4. Components of those links only collect candidates: within each one, links are confirmed on full shingle sets, again
    by scanning. Components with very many shingles are scanned in rounds over all executors instead of in one task.
 
+Hot keys: a task's nodes that share a key often are linked to one of them before the shuffle, which alone goes on, so a
+key that a third of all nodes have reaches its task as one row per many thousand nodes.
+
 Defined cases: null and empty texts have no shingles and are linked with nothing; fewer than five words are one
-shingle; rows that repeat an id are one document; a null id is a document of its own that is never dropped; an empty
-table gives no rows; other columns aren't read.
+shingle; every row is a document, so rows that repeat an id, or have none, are told apart: each gets its own text's
+component, named by the smallest id in it (null if none has one); equal rows that repeat an id are all kept by the
+query, as ids decide there, and the filter keeps one of them; an empty table gives no rows; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -41,8 +45,10 @@ PAIRED = 8
 KEY_NODES = 50_000
 #: Shingles of a candidate component that one task confirms; larger ones are confirmed in rounds by all tasks.
 TASK_SHINGLES = 4_000_000
-#: Components that one round works on, and members of each that it scans.
-ROUND_COMPONENTS, ROUND_MEMBERS = 16, 64
+#: Members that one round scans, and shingles of them: what a round sends to all tasks is bounded by these (and one text).
+ROUND_MEMBERS, ROUND_SHINGLES = 4_096, 4_000_000
+#: Nodes that a task looks at for keys which many of them share, and how many share a key that is thinned out there.
+LOCAL_NODES, LOCAL_SHARED = 16_384, 24
 
 _rng = np.random.default_rng(8_2024)
 _XOR = _rng.integers(0, 2**32, SYMBOLS, dtype=np.uint32)
@@ -99,24 +105,60 @@ def _matrix(sigs: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(sigs.to_pylist()), np.uint16).reshape(len(sigs), SYMBOLS)
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keys_of(sig: np.ndarray) -> np.ndarray:
+    """Keys of signatures (uint64 symbols): all nodes' first keys, then all second ones, and so on."""
+    keys = []
+    for i, cols in enumerate(KEYS):
+        h = np.full(len(sig), i, np.uint64)
+        for c in cols:
+            h = (h << np.uint64(16)) ^ sig[:, c]
+        keys.append(mix(h * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i)))
+    return np.concatenate(keys)
+
+
+def _keys(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """(key, node, to): a node's keys, ``to`` null. Of the ``least`` or more nodes at hand that share a key, only one
+    keeps it; the others get a row (any key, node, to) that links them to it."""
+    sigs: list[np.ndarray] = []
+    nodes: list[np.ndarray] = []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        sig, node = np.concatenate(sigs).astype(np.uint64), np.concatenate(nodes)
+        key, own = _keys_of(sig), np.tile(node, len(KEYS))
+        order = np.argsort(key, kind="stable")
+        at = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+        size = np.diff(np.append(at, len(key)))
+        shared = np.flatnonzero(size >= least)
+        gone = np.zeros(len(key), bool)
+        if len(shared):
+            rows = [order[at[i] : at[i] + size[i]] for i in shared]
+            gone[np.concatenate([r[1:] for r in rows])] = True
+            links = np.unique(np.concatenate([np.stack([own[r[1:]], np.full(len(r) - 1, own[r[0]])], axis=1) for r in rows]), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 0]), pa.array(links[:, 1])], ["key", "node", "to"])
+        key, own = key[~gone].view(np.int64), own[~gone]
+        for lo in range(0, len(key), 1 << 16):
+            part = slice(lo, lo + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(own[part]), pa.nulls(len(key[part]), pa.int64())], ["key", "node", "to"])
+
+    have = 0
     for b in batches:
-        if not b.num_rows:
-            continue
-        sig, node = _matrix(b.column("sig")).astype(np.uint64), b.column("node").to_numpy()
-        for lo in range(0, len(node), 512):
-            part, keys = sig[lo : lo + 512], []
-            for i, cols in enumerate(KEYS):
-                h = np.full(len(part), i, np.uint64)
-                for c in cols:
-                    h = (h << np.uint64(16)) ^ part[:, c]
-                keys.append(mix(h * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(node[lo : lo + 512], len(KEYS)))], ["key", "node"])
+        if b.num_rows:
+            sigs.append(_matrix(b.column("sig")))
+            nodes.append(b.column("node").to_numpy())
+            have += b.num_rows
+        if have >= LOCAL_NODES:
+            yield from flush()
+            sigs.clear()
+            nodes.clear()
+            have = 0
+    if have:
+        yield from flush()
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by key: pairs (a, b) of keys with a few nodes, and memberships (a, null, key) of keys with more.
-    Only the nodes of a key that a batch leaves open are held, and no more than PAIRED of them."""
+    """From rows sorted by key: pairs (a, b) of keys with a few nodes, and memberships (a, null, key) of keys with more;
+    rows with ``to`` become links (a, b) with ``many`` null. Only the nodes of a key that a batch leaves open are held, and
+    no more than PAIRED of them."""
     held_key, held, many = None, np.zeros(0, np.int64), False
 
     def pairs_of(key, node, at, size):
@@ -137,6 +179,10 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     none = np.zeros(0, np.int64)
     for batch in batches:
+        linked = batch.filter(batch.column("to").is_valid())
+        if linked.num_rows:
+            yield pa.RecordBatch.from_arrays([linked.column("node"), linked.column("to"), linked.column("key"), pa.nulls(linked.num_rows, pa.bool_())], ["a", "b", "key", "many"])
+            batch = batch.filter(batch.column("to").is_null())
         key, node = batch.column("key").to_numpy(), batch.column("node").to_numpy()
         if not len(key):
             continue
@@ -198,8 +244,10 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def signature_links(spark: SparkSession, nodes: DataFrame) -> DataFrame:
     """Links (a, b) whose components hold those of all pairs at signature distance <= DISTANCE. nodes: node, sig."""
-    found = nodes.mapInArrow(_keys, "key long, node long").repartition("key").sortWithinPartitions("key")
+    least = LOCAL_SHARED
+    found = nodes.select("node", "sig").mapInArrow(lambda it: _keys(it, least), "key long, node long, to long").repartition("key").sortWithinPartitions("key")
     found = stored(found.mapInArrow(_meet, "a long, b long, key long, many boolean"), spark)
+    near_by = found.filter("many IS NULL").select("a", "b")
     sig = nodes.select("node", "sig")
     pairs = found.filter("not many").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").mapInArrow(_near, "a long, b long")
@@ -211,7 +259,7 @@ def signature_links(spark: SparkSession, nodes: DataFrame) -> DataFrame:
         stars = many.join(large, "key").select(F.col("node").alias("a"), F.col("first").alias("b"))
         many = many.join(large, "key", "left_anti")
     groups = many.join(sig, "node").repartition("key").sortWithinPartitions("key", "node")
-    links = pairs.unionByName(groups.mapInArrow(_span, "a long, b long"))
+    links = pairs.unionByName(groups.mapInArrow(_span, "a long, b long")).unionByName(near_by)
     return links if stars is None else links.unionByName(stars)
 
 
@@ -222,133 +270,167 @@ def _digest(shingles: np.ndarray) -> tuple[np.uint64, np.uint64]:
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        want = np.stack([b.column(c).to_numpy().view(np.uint64) for c in ("s1", "s2")], axis=1)
         for t, sets in _sets(b.column("text")):
-            same = [_digest(s) == (w[0], w[1]) for s, w in zip(sets, want[t.lo : t.hi], strict=True)]
             rest = [b.column(c).slice(t.lo, t.hi - t.lo) for c in ("group", "node")]
-            out = pa.RecordBatch.from_arrays([*rest, pa.array([s.tobytes() for s in sets], pa.binary())], ["group", "node", "shingles"])
-            yield out.filter(pa.array(same, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*rest, pa.array([s.tobytes() for s in sets], pa.binary())], ["group", "node", "shingles"])
 
 
 def _similar(inter: np.ndarray, n: np.ndarray, m: int) -> np.ndarray:
     return 100 * inter >= PERCENT * (n + m - inter)
 
 
+def _confirmed(sets: list[np.ndarray]) -> np.ndarray:
+    """Components of sets by their exact similarity."""
+    n = np.array([len(s) for s in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    at = np.concatenate([[0], np.cumsum(n)])
+    mark = np.zeros(int(ids.max()) + 1, bool)
+
+    def linked(i: int) -> np.ndarray:
+        mark[ids[at[i] : at[i + 1]]] = True
+        inter = np.add.reduceat(mark[ids], at[:-1], dtype=np.int64)
+        mark[ids[at[i] : at[i + 1]]] = False
+        return _similar(inter, n, n[i])
+
+    return scan(len(sets), linked)
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in _groups(batches, "group"):
         node = t.column("node").to_numpy()
-        sets = [np.frombuffer(s, np.uint64) for s in t.column("shingles").to_pylist()]
-        n = np.array([len(s) for s in sets])
-        ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
-        at = np.concatenate([[0], np.cumsum(n)])
-        mark = np.zeros(int(ids.max()) + 1, bool)
-
-        def linked(i: int, ids=ids, at=at, n=n, mark=mark) -> np.ndarray:
-            mark[ids[at[i] : at[i + 1]]] = True
-            inter = np.add.reduceat(mark[ids], at[:-1], dtype=np.int64)
-            mark[ids[at[i] : at[i + 1]]] = False
-            return _similar(inter, n, n[i])
-
-        label = scan(len(node), linked)
+        label = _confirmed([np.frombuffer(s, np.uint64) for s in t.column("shingles").to_pylist()])
         yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(node[label])], ["node", "label"])
 
 
 def _in_rounds(spark: SparkSession, rows: DataFrame) -> DataFrame:
     """(node, label) for the members of very large candidate components: rows (group, node, shingles).
 
-    A round takes some components, and of each a bounded number of members that weren't scanned, from its smallest
-    confirmed groups; they go to all tasks, which compare all members with them. As in ``scan``, a component is done
-    once no two of its confirmed groups have members left to scan.
+    A round picks members that weren't scanned and aren't in their component's largest confirmed group, as many as
+    ROUND_MEMBERS and ROUND_SHINGLES allow, and links those among each other; they go to all tasks, which compare all
+    members of their components with them and link each to one of every group of picked ones that it is similar to. As
+    in ``scan``, a component is done once no two of its confirmed groups have members left to scan.
     """
-    rows = stored(rows.dropDuplicates(["node"]), spark)
-    state = stored(rows.select("group", "node", F.col("node").alias("label"), F.lit(False).alias("scanned")), spark)
+    rows = stored(rows.dropDuplicates(["node"]).withColumn("n", F.octet_length("shingles") / 8), spark)
+    state = stored(rows.select("group", "node", F.col("n").cast("long").alias("n"), F.col("node").alias("label"), F.lit(False).alias("scanned")), spark)
     while True:
         groups = state.groupBy("group", "label").agg(F.count_if(~F.col("scanned")).alias("left"))
         open_ = groups.filter("left > 0").groupBy("group").agg(F.count("*").alias("n"), F.max(F.struct("left", "label")).alias("top")).filter("n > 1")
-        now = [(r["group"], r["top"]["label"]) for r in open_.orderBy("group").limit(ROUND_COMPONENTS).collect()]
+        open_ = open_.select("group", F.col("top.label").alias("largest"))
+        chosen = state.filter("not scanned").join(open_, "group").filter("label <> largest")
+        now = chosen.select("group", "node", "n").orderBy("group", "node").limit(ROUND_MEMBERS).collect()
         if not now:
             return state.select("node", "label")
-        largest = spark.createDataFrame(now, "group long, largest long")
-        chosen = state.filter("not scanned").join(F.broadcast(largest), "group").filter("label <> largest")
-        parts = [chosen.filter(F.col("group") == g).orderBy("node").limit(ROUND_MEMBERS).select("group", "node") for g, _ in now]
-        picked = parts[0]
-        for p in parts[1:]:
-            picked = picked.unionByName(p)
-        picked = stored(picked, spark)
-        members = {}
+        total = np.cumsum([r["n"] for r in now])
+        now = now[: max(1, int(np.searchsorted(total, ROUND_SHINGLES, side="right")))]
+        picked = spark.createDataFrame([(r["group"], r["node"]) for r in now], "group long, node long")
+        own: dict[int, tuple[list, list]] = {}
         for r in rows.join(F.broadcast(picked), ["group", "node"], "left_semi").collect():
-            members.setdefault(r["group"], []).append((r["node"], np.frombuffer(r["shingles"], np.uint64)))
-        sent = spark.sparkContext.broadcast(members)
+            at = own.setdefault(r["group"], ([], []))
+            at[0].append(r["node"])
+            at[1].append(np.frombuffer(r["shingles"], np.uint64))
+        links, sent_rows = [], {}
+        for group, (nodes, sets) in own.items():
+            label = _confirmed(sets)
+            links += [(nodes[i], nodes[j]) for i, j in enumerate(label.tolist()) if i != j]
+            owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            values = np.concatenate(sets)
+            order = np.argsort(values, kind="stable")
+            sent_rows[group] = np.array(nodes), label, np.array([len(s) for s in sets]), values[order], owner[order]
+        sent = spark.sparkContext.broadcast(sent_rows)
 
         def compare(batches, sent=sent):
             for b in batches:
                 found = []
-                for group, node, own in zip(*[b.column(c).to_pylist() for c in ("group", "node", "shingles")], strict=True):
-                    s = np.frombuffer(own, np.uint64)
-                    for other, t in sent.value[group]:
-                        if other != node and len(s) and len(t):
-                            at = np.minimum(np.searchsorted(t, s), len(t) - 1)
-                            if _similar(np.count_nonzero(t[at] == s), len(s), len(t)):
-                                found.append((node, other))
+                for group, node, raw in zip(*[b.column(c).to_pylist() for c in ("group", "node", "shingles")], strict=True):
+                    s = np.frombuffer(raw, np.uint64)
+                    nodes, label, n, values, owner = sent.value[group]
+                    lo, hi = np.searchsorted(values, s, "left"), np.searchsorted(values, s, "right")
+                    some = hi > lo
+                    lo, many = lo[some], (hi - lo)[some]
+                    place = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+                    near = np.unique(label[_similar(np.bincount(owner[place], minlength=len(n)), n, len(s))])
+                    found += [(node, int(x)) for x in nodes[near] if x != node]
                 a, c = list(zip(*found, strict=True)) or ((), ())
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
 
-        near = rows.filter(F.col("group").isin([g for g, _ in now])).mapInArrow(compare, "a long, b long")
+        near = rows.filter(F.col("group").isin(list(own))).select("group", "node", "shingles").mapInArrow(compare, "a long, b long")
+        near = near.unionByName(spark.createDataFrame(links, "a long, b long"))
         label = state.select("node", "label")
-        links = near.join(label.toDF("a", "la"), "a").join(label.toDF("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
-        roots = components(spark, links).toDF("label", "root")
-        seen = picked.select("node", F.lit(True).alias("seen"))
+        links_ = near.join(label.toDF("a", "la"), "a").join(label.toDF("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+        roots = components(spark, links_).toDF("label", "root")
+        seen = F.broadcast(picked.select("node", F.lit(True).alias("seen")))
         state = stored(
             state.join(roots, "label", "left")
             .join(seen, "node", "left")
-            .select("group", "node", F.coalesce("root", "label").alias("label"), (F.col("scanned") | F.coalesce("seen", F.lit(False))).alias("scanned")),
+            .select("group", "node", "n", F.coalesce("root", "label").alias("label"), (F.col("scanned") | F.coalesce("seen", F.lit(False))).alias("scanned")),
             spark,
         )
         sent.unpersist()
 
 
+def _numbered(spark: SparkSession, rows: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
+    """``rows`` (stored) with a number that follows the order of ids, nulls last, and its column's name."""
+    number = "row"
+    while number in rows.columns:
+        number += "_"
+    ordered = rows.orderBy(F.col(key).cast("long").asc_nulls_last(), F.xxhash64(text), F.monotonically_increasing_id())
+    return stored(ordered.withColumn(number, F.monotonically_increasing_id()), spark), number
+
+
+def _unclear(ids: DataFrame) -> bool:
+    """Whether ids (one column) are null or repeated anywhere."""
+    return bool(ids.toDF("id").groupBy("id").count().filter("id IS NULL OR count > 1").limit(1).count())
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", task_shingles: int = TASK_SHINGLES) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     small_batches(spark)
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    found = stored(docs.mapInArrow(_describe, "doc_id long, n_shingles long, s1 long, s2 long, sig binary"), spark)
-    with_id = found.filter("n_shingles > 0 and doc_id is not null")
-    nodes = with_id.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n"), F.min("sig").alias("sig"))
+    found = _described(spark, docs)
+    if not _unclear(found.select("doc_id")):
+        return _labelled(spark, docs, found, task_shingles)
+    rows, number = _numbered(spark, docs, "doc_id", "text")
+    ids = rows.select(F.col(number).alias("n"), "doc_id")
+    by_number = rows.select(F.col(number).alias("doc_id"), "text")
+    out = _labelled(spark, by_number, _described(spark, by_number), task_shingles).withColumnsRenamed({"doc_id": "n", "component_id": "root"})
+    out = out.join(ids, "n").join(ids.toDF("root", "component_id"), "root")
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _described(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    return stored(docs.mapInArrow(_describe, "doc_id long, n_shingles long, s1 long, s2 long, sig binary"), spark)
+
+
+def _labelled(spark: SparkSession, docs: DataFrame, found: DataFrame, task_shingles: int) -> DataFrame:
+    """``near_duplicates`` of documents whose ids are given and differ."""
+    some = found.filter("n_shingles > 0")
+    nodes = some.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n"), F.min("sig").alias("sig"))
     nodes = stored(nodes, spark)
 
     links = signature_links(spark, nodes)
     group = stored(components(spark, links).withColumnRenamed("root", "group"), spark)
     sizes = group.join(nodes.select("node", "n"), "node").groupBy("group").agg(F.sum("n").alias("total"))
-    candidates = group.join(sizes, "group").join(nodes.select("node", "s1", "s2"), "node").withColumnRenamed("node", "doc_id")
+    candidates = group.join(sizes, "group").withColumnRenamed("node", "doc_id")
     candidates = docs.join(candidates, "doc_id").withColumnRenamed("doc_id", "node")
-    one = _only(candidates.filter(F.col("total") <= task_shingles)).repartition("group").sortWithinPartitions("group", "node")
+    one = _sets_of(candidates.filter(F.col("total") <= task_shingles)).repartition("group").sortWithinPartitions("group", "node")
     labels = one.mapInArrow(_confirm, "node long, label long")
     if sizes.filter(F.col("total") > task_shingles).limit(1).count():
-        labels = labels.unionByName(_in_rounds(spark, _only(candidates.filter(F.col("total") > task_shingles))))
-    of_set = nodes.join(labels.distinct(), "node", "left").select("s1", "s2", F.coalesce("label", "node").alias("label"))
-    out = with_id.select("doc_id", "n_shingles", "s1", "s2").join(of_set, ["s1", "s2"]).select("doc_id", "n_shingles", F.col("label").alias("component_id"))
-    rest = found.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return out.unionByName(rest).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        labels = labels.unionByName(_in_rounds(spark, _sets_of(candidates.filter(F.col("total") > task_shingles))))
+    of_set = nodes.join(labels, "node", "left").select("s1", "s2", F.coalesce("label", "node").alias("label"))
+    out = some.select("doc_id", "n_shingles", "s1", "s2").join(of_set, ["s1", "s2"]).select("doc_id", "n_shingles", F.col("label").alias("component_id"))
+    rest = found.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return out.unionByName(rest).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-def _only(candidates: DataFrame) -> DataFrame:
-    """Full shingle sets of the nodes; of rows that repeat an id, those whose set made the node."""
-    return candidates.select("group", "node", "s1", "s2", "text").mapInArrow(_shingles, "group long, node long, shingles binary")
+def _sets_of(candidates: DataFrame) -> DataFrame:
+    return candidates.select("group", "node", "text").mapInArrow(_shingles, "group long, node long, shingles binary")
 
 
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each group of near-duplicates. Where ids are null or repeated, rows are told apart by a
     number that follows the order of ids, nulls last."""
-    ids = docs.groupBy(F.col(key).cast("long").alias("id")).count()
-    if ids.filter("id IS NULL OR count > 1").limit(1).count():
-        number = "row"
-        while number in docs.columns:
-            number += "_"
-        rows = docs.orderBy(F.col(key).cast("long").asc_nulls_last(), F.xxhash64(text))
-        rows = stored(rows.withColumn(number, F.monotonically_increasing_id()), spark)
-    else:
-        rows, number = docs, key
-    gone = near_duplicates(spark, rows, number, text).filter(~F.col("kept")).select(F.col("doc_id").alias(number)).distinct()
+    rows, number = _numbered(spark, docs, key, text) if _unclear(docs.select(F.col(key).cast("long"))) else (docs, key)
+    gone = near_duplicates(spark, rows, number, text).filter(~F.col("kept")).select(F.col("doc_id").alias(number))
     return rows.join(gone, number, "left_anti").select(*docs.columns)
 
 

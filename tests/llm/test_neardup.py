@@ -2,9 +2,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from orrery.llm import neardup
+from orrery.llm import components, neardup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -17,24 +18,28 @@ def shingles(text):
 
 def brute(docs):
     sets = [(i, shingles(t)) for i, t in docs]
-    root = {i: i for i, _ in sets}
+    root = list(range(len(sets)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for a, (i, s) in enumerate(sets):
-        for j, t in sets[:a]:
+    for a, (_, s) in enumerate(sets):
+        for b, (_, t) in enumerate(sets[:a]):
             k = len(s & t)
             if k and 100 * k >= 75 * (len(s) + len(t) - k):
-                x, y = sorted((find(i), find(j)))
+                x, y = sorted((find(a), find(b)))
                 root[y] = x
-    return sorted((i, len(s), find(i), find(i) == i) for i, s in sets)
+    least = {}
+    for a, (i, _) in enumerate(sets):
+        if i is not None:
+            least[find(a)] = min(i, least.get(find(a), i))
+    return sorted(((i, len(s), least.get(find(a)), least.get(find(a)) == i) for a, (i, s) in enumerate(sets)), key=str)
 
 
 def rows(df):
-    return sorted(tuple(r) for r in df.select("doc_id", "n_shingles", "component_id", "kept").collect())
+    return sorted((tuple(r) for r in df.select("doc_id", "n_shingles", "component_id", "kept").collect()), key=str)
 
 
 def corpus(seed, n=120):
@@ -52,10 +57,14 @@ def corpus(seed, n=120):
     return docs
 
 
-@pytest.mark.parametrize("seed, most, nodes", [(1, None, neardup.KEY_NODES), (2, 400, 12)])
-def test_brute_force(spark, monkeypatch, seed, most, nodes):
+@pytest.mark.parametrize("seed, most, nodes, shared", [(1, None, neardup.KEY_NODES, neardup.LOCAL_SHARED), (2, 1500, 12, 3)])
+def test_brute_force(spark, monkeypatch, seed, most, nodes, shared):
+    """With small bounds, too: large keys and components, keys thinned out before the shuffle, heavy nodes."""
     monkeypatch.setattr(neardup, "KEY_NODES", nodes)
-    monkeypatch.setattr(neardup, "ROUND_MEMBERS", 3)
+    monkeypatch.setattr(neardup, "ROUND_MEMBERS", 30)
+    monkeypatch.setattr(neardup, "ROUND_SHINGLES", 1500)
+    monkeypatch.setattr(neardup, "LOCAL_SHARED", shared)
+    monkeypatch.setattr(components, "HEAVY", shared)
     docs = corpus(seed)
     df = spark.createDataFrame(docs, "doc_id long, text string")
     found = neardup.near_duplicates(spark, df, task_shingles=most or neardup.TASK_SHINGLES)
@@ -70,14 +79,33 @@ def test_odd_rows(spark):
     kept = neardup.near_duplicate_filter(spark, df)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 5, 7, 9]
     twice = neardup.near_duplicates(spark, df.union(df))
-    assert rows(twice) == sorted(brute(docs) * 2)
+    assert rows(twice) == sorted(brute(docs) * 2, key=str)
 
 
 def test_repeated_ids_with_other_texts(spark):
-    a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
-    df = spark.createDataFrame([(1, a), (1, b), (2, a + " x"), (3, b + " x"), (None, a)], "doc_id long, text string")
-    found = neardup.near_duplicates(spark, df).collect()
-    assert {r.component_id for r in found if r.doc_id in (2, 3)} == {1} and len(found) == 5
+    """Rows, not ids, are documents: the query and the filter against brute force over rows."""
+    text = lambda w, n=50: " ".join(f"{w}{i}" for i in range(n))
+    a, b = text("a"), text("b")
+    docs = [(1, a), (2, a + " x"), (2, b)]
+    assert rows(neardup.near_duplicates(spark, spark.createDataFrame(docs, "doc_id long, text string"))) == brute(docs)
+    kept = neardup.near_duplicate_filter(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in kept) == [(1, a), (2, b)]
+    rnd = random.Random(5)
+    docs = [(rnd.choice([None, *range(25)]), t) for _, t in corpus(5, 80)] + [(3, None), (None, ""), (None, "z"), (None, "z")]
+    assert rows(neardup.near_duplicates(spark, spark.createDataFrame(docs, "doc_id long, text string"))) == brute(docs)
+    numbered = brute(list(enumerate(t for _, t in sorted(docs, key=lambda d: (d[0] is None, d[0] or 0)))))
+    kept = neardup.near_duplicate_filter(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len(kept) == sum(r[3] for r in numbered)
+
+
+def test_hot_keys_are_thinned_out():
+    """Nodes that share keys keep one each of them, and what is left still links them all."""
+    sig = np.random.default_rng(1).integers(0, 2**16, (300, neardup.SYMBOLS)).astype(np.uint16)
+    sig[:200, :32] = sig[0, :32]
+    nodes = pa.RecordBatch.from_arrays([pa.array(np.arange(300)), pa.array([s.tobytes() for s in sig])], ["node", "sig"])
+    found = pa.Table.from_batches(list(neardup._keys(iter([nodes]), 24))).to_pylist()
+    keys = [r for r in found if r["to"] is None]
+    assert len(keys) < 64 * 300 - 199 * 20 and {r["node"] for r in found if r["to"] is not None} == set(range(1, 200))
 
 
 def test_all_pairs_under_the_distance_share_a_key():
