@@ -1,6 +1,7 @@
 import html
 import random
 import re
+import time
 
 from orrery.llm import html_text, wrappers
 
@@ -111,3 +112,26 @@ def test_wrappers_of_many_pages_stay_small():
         if i in (99, 1999):
             sizes.append(len(str(found)))
     assert len(found) == 1 and sizes[1] <= 2 * sizes[0]
+
+
+def test_class_words_lose_no_prose():
+    """In an article a class names a topic as often as a role: prose and links stay, adverts and containers by role go."""
+    source = """<article class='post'><h2 class='header'>Head</h2><p class='legal'>The legal text</p><p>See <a class='related'>linked words</a> too</p>
+<p class='advert'>Buy</p><div class='related'>More pages</div><ul class='share'><li>X</ul><p class='menu'>Soup</p></article>"""
+    assert html_text.extract(source) == "Head\n\nThe legal text\n\nSee linked words too\n\nSoup"
+
+
+def test_deeply_nested_and_misnested_tags_take_linear_time():
+    n = 100_000
+    pages = {"<div>" * n + "deep": "deep", "<li>" * n + "</b>" * n + "last": "last", "<b><div>" * n + "</b>" * n + "x": "x", "<span class=ad>" * n + "gone": ""}
+    began = time.perf_counter()
+    for source, text in pages.items():
+        assert html_text.extract(source) == text
+    assert time.perf_counter() - began < 30
+
+
+def test_tokens_are_balanced():
+    """What a page leaves open is closed, so that pages which differ in that alone have one wrapper."""
+    whole = html_text.Page("<ul><li>a</li><li>b</li></ul><p>c <b>d</b></p><table><tr><td>e</td></tr></table>").tokens
+    assert html_text.Page("<ul><li>a<li>b</ul><p>c <b>d<table><tr><td>e").tokens == whole
+    assert sum(v.startswith("/") for k, v in whole if k == "tag") * 2 == sum(k == "tag" for k, _ in whole)
