@@ -5,11 +5,13 @@ Every byte goes that lies in a 200-byte string which also starts at another plac
 1. Each 200-byte window picks an anchor, its 64-byte substring of least hash (the leftmost of equals). Windows of equal
    content pick anchors of equal content, so only windows with the same anchor need to meet. Neighbouring windows that
    share an anchor form a piece: one row with hashes of its anchor and of its content, and no text.
-2. Rows are dealt out by anchor. Anchors that occur once are dropped; pieces of equal content become a class, of which
-   one text is fetched, so that thousands of copies count as one text from here on.
-3. Texts of classes, again dealt out by anchor, are joined to shard strings of a few hundred KB. Each shard's suffix
-   array is made by induced sorting, then its permuted common prefixes: a window is repeated if its suffix shares 200
-   bytes with a neighbour in the array, or if its class has several members.
+2. Rows are dealt out by anchor, those of an anchor that a task has often by anchor and salt, so no anchor's rows meet in
+   one task. Anchors that occur once are dropped; pieces of equal content become a class, of which one text a salt is
+   fetched, so that thousands of copies count as a few texts from here on.
+3. An anchor's only class has several members, so all of it is repeated. Texts of other classes, again dealt out by
+   anchor, are joined to shard strings of a few hundred KB. Each shard's suffix array is made by induced sorting, then its
+   permuted common prefixes: a window is repeated if its suffix shares 200 bytes with a neighbour in the array, or if its
+   class has several members.
 4. The repeated windows of a class go back to all members' documents, where they are merged to spans.
 
 An anchor whose texts don't fit a shard is settled by 128-bit fingerprints of its windows, grouped by Spark; that is
@@ -37,6 +39,9 @@ ANCHOR = 64
 #: Bytes that a shard string is filled up to, and that one anchor's texts may have in it.
 SHARD_BYTES = 1 << 20
 ANCHOR_BYTES = 4 << 20
+#: Pieces that a task looks at for anchors which many of them share, how many are too many, and over how many salts the
+#: pieces of such an anchor are dealt.
+LOCAL_PIECES, LOCAL_SHARED, SALTS = 65_536, 8, 64
 
 
 def _grams(t: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -106,31 +111,58 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _salted(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Pieces with a salt, 0 but for anchors that ``least`` or more of the pieces at hand have: theirs are dealt out. Of
+    such an anchor a row without windows goes to salt 0, as pieces elsewhere must know that it isn't theirs alone."""
+    held: list[pa.RecordBatch] = []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        h = t.column("h").to_numpy()
+        anchors, own, n = np.unique(h, return_inverse=True, return_counts=True)
+        salt = np.where(n[own] >= least, 1 + np.arange(len(h)) % SALTS, 0)
+        yield pa.RecordBatch.from_arrays([*t.columns, pa.array(salt, pa.int32())], [*t.schema.names, "salt"])
+        hot = anchors[n >= least]
+        if len(hot):
+            none = pa.array(np.zeros(len(hot), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(hot), pa.int64()), none, pa.array(hot), none, none, none, none, none.cast(pa.int32())], [*t.schema.names, "salt"])
+
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= LOCAL_PIECES:
+            yield from flush()
+            held = []
+    if sum(x.num_rows for x in held):
+        yield from flush()
+
+
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by h and c: those whose h has more than one piece, with ``first`` for the first row of each
-    class and ``many`` if the class has several pieces. A row is held back until its successor is known."""
+    """From rows sorted by h, salt and c: those whose h has more than one piece, with ``first`` for the first row of each
+    class and ``many`` if the class has several pieces under its salt. A row is held back until its successor is known."""
     held: pa.RecordBatch | None = None
+    key = ("h", "salt", "c", "windows")
 
     def emit(b: pa.RecordBatch, before, after) -> pa.RecordBatch:
-        h, c, times = (b.column(x).to_numpy() for x in ("h", "c", "times"))
+        h, salt, c, windows, times = (b.column(x).to_numpy() for x in (*key, "times"))
         hb, cb, ha, ca = (np.zeros(len(h), bool) for _ in range(4))
-        hb[1:], cb[1:] = h[1:] == h[:-1], (h[1:] == h[:-1]) & (c[1:] == c[:-1])
+        hb[1:] = (h[1:] == h[:-1]) & (salt[1:] == salt[:-1])
+        cb[1:] = hb[1:] & (c[1:] == c[:-1]) & (windows[1:] > 0) & (windows[:-1] > 0)
         ha[:-1], ca[:-1] = hb[1:], cb[1:]
-        if before is not None:
-            hb[0], cb[0] = h[0] == before[0], (h[0], c[0]) == before
-        if after is not None:
-            ha[-1], ca[-1] = h[-1] == after[0], (h[-1], c[-1]) == after
-        keep = hb | ha | (times > 1)
+        for x, other, hs, cs in ((0, before, hb, cb), (-1, after, ha, ca)):
+            if other is not None:
+                hs[x] = (h[x], salt[x]) == other[:2]
+                cs[x] = hs[x] and c[x] == other[2] and windows[x] > 0 and other[3] > 0
+        keep = (hb | ha | (times > 1) | (salt > 0)) & (windows > 0)
         out = pa.RecordBatch.from_arrays([*b.columns, pa.array(~cb), pa.array(cb | ca | (times > 1))], [*b.schema.names, "first", "many"])
-        return out.filter(pa.array(keep))
+        return out.filter(pa.array(keep)).drop_columns(["salt"])
 
     before = None
     for b in batches:
         if not b.num_rows:
             continue
         if held is not None:
-            yield emit(held, before, (b.column("h")[0].as_py(), b.column("c")[0].as_py()))
-            before = (held.column("h")[-1].as_py(), held.column("c")[-1].as_py())
+            yield emit(held, before, tuple(b.column(x)[0].as_py() for x in key))
+            before = tuple(held.column(x)[-1].as_py() for x in key)
         held = b
     if held is not None:
         yield emit(held, before, None)
@@ -139,15 +171,14 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts of the pieces listed for each document."""
     for b in batches:
-        h, c, many, texts = [], [], [], []
+        out: tuple[list, ...] = ([], [], [], [], [])
         for text, wanted in zip(b.column("text").to_pylist(), b.column("wanted").to_pylist(), strict=True):
             raw = (text or "").encode()
             for w in wanted:
-                h.append(w["h"])
-                c.append(w["c"])
-                many.append(w["many"])
-                texts.append(raw[w["start"] : w["start"] + w["windows"] + LENGTH - 1])
-        yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(many, pa.bool_()), pa.array(texts, pa.binary())], ["h", "c", "many", "text"])
+                for to, v in zip(out, (w["h"], w["c"], w["many"], w["large"], raw[w["start"] : w["start"] + w["windows"] + LENGTH - 1]), strict=True):
+                    to.append(v)
+        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], ["h", "c", "many", "large", "text"])
 
 
 def repeated_windows(texts: list[bytes], many: list[bool]) -> list[np.ndarray]:
@@ -173,7 +204,7 @@ def _spans(flags: np.ndarray) -> list[int]:
     return np.flatnonzero(edge).tolist()
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shards(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[pa.RecordBatch]:
     rows: list[tuple] = []
     size = 0
 
@@ -185,7 +216,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for r in zip(*[b.column(x).to_pylist() for x in ("h", "c", "many", "text")], strict=True):
-            if size >= SHARD_BYTES and rows[-1][0] != r[0]:
+            if size >= shard_bytes and rows[-1][0] != r[0]:
                 yield flush()
                 rows, size = [], 0
             rows.append(r)
@@ -220,25 +251,30 @@ def _merge(spans) -> tuple[np.ndarray, np.ndarray]:
 def repeated_spans(spark: SparkSession, docs: DataFrame, anchor_bytes: int = ANCHOR_BYTES) -> DataFrame:
     """(doc_id, th, spans): for documents (doc_id, th, text) with repeats, byte spans that cover them. Documents are told
     apart by doc_id and th, a hash of the text; rows equal in both get one result that holds for each."""
-    found = docs.mapInArrow(_pieces, "doc_id long, th long, h long, c long, start long, windows long, times long")
-    found = found.repartition("h").sortWithinPartitions("h", "c", "doc_id", "start")
+    least, shard_bytes = LOCAL_SHARED, SHARD_BYTES
+    found = docs.mapInArrow(lambda it: _salted(_pieces(it), least), "doc_id long, th long, h long, c long, start long, windows long, times long, salt int")
+    found = found.repartition("h", "salt").sortWithinPartitions("h", "salt", "c", "doc_id", "start")
     found = stored(found.mapInArrow(_repeated, "doc_id long, th long, h long, c long, start long, windows long, times long, first boolean, many boolean"), spark)
 
     classes = found.filter("first")
-    wanted = classes.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "c", "many", "start", "windows")).alias("wanted"))
-    texts = docs.join(wanted, _same(docs, wanted)).select("text", "wanted").mapInArrow(_texts, "h long, c long, many boolean, text binary")
-    large = stored(classes.groupBy("h").agg(F.sum(F.col("windows") + LENGTH).alias("size")).filter(F.col("size") > anchor_bytes).select("h"), spark)
-    any_large = large.limit(1).count()
+    anchors = classes.groupBy("h").agg((F.min("c") == F.max("c")).alias("alone"), (F.sum(F.col("windows") + LENGTH) > anchor_bytes).alias("large"))
+    classes = stored(classes.join(anchors, "h"), spark)
+    # the only class of an anchor has several members, and no window stands twice in one text: it would have two anchors
+    spans = classes.filter("alone").select("h", "c", F.array(F.lit(0), F.col("windows").cast("int")).alias("spans"))
+    wanted = classes.filter("not alone").groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "c", "many", "large", "start", "windows")).alias("wanted"))
+    texts = docs.join(wanted, _same(docs, wanted)).select("text", "wanted").mapInArrow(_texts, "h long, c long, many boolean, large boolean, text binary")
+    any_large = classes.filter("large and not alone").limit(1).count()
     if any_large:
         texts = stored(texts, spark)
-    small = texts.join(large, "h", "left_anti") if any_large else texts
-    small = small.repartition("h").sortWithinPartitions("h", "c")
-    spans = small.mapInArrow(_shards, "h long, c long, spans array<int>")
+    small = texts.filter("not large").repartition("h").sortWithinPartitions("h", "c")
+    spans = spans.unionByName(small.mapInArrow(lambda it: _shards(it, shard_bytes), "h long, c long, spans array<int>"))
     if any_large:
-        prints = texts.join(large, "h", "left_semi").mapInArrow(_fingerprints, "h long, c long, many boolean, i int, print binary")
+        prints = texts.filter("large").mapInArrow(_fingerprints, "h long, c long, many boolean, i int, print binary")
         seen = prints.groupBy("h", "print").agg(F.count("*").alias("n"))
         hit = prints.join(seen, ["h", "print"]).filter("many or n > 1").groupBy("h", "c").agg(F.flatten(F.collect_list(F.array(F.col("i"), F.col("i") + 1))).alias("spans"))
         spans = spans.unionByName(hit)
+    # a class that came under several salts has several rows, which are equal: all its windows are repeated
+    spans = spans.groupBy("h", "c").agg(F.first("spans").alias("spans"))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -299,22 +335,18 @@ def removed(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str
 def remove_repeats(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with what is left of the texts; a character that loses some of its bytes goes, and a null text stays null."""
     small_batches(spark)
-    keyed = _keyed(docs, key, text)
-    spans = repeated_spans(spark, keyed).withColumnsRenamed({"doc_id": "_doc", "th": "_th"})
-    text_col = F.coalesce(F.col(text), F.lit(""))
-    joined = docs.join(spans, docs[key].cast("long").eqNullSafe(spans["_doc"]) & (F.xxhash64(text_col) == spans["_th"]), "left")
-    names = docs.columns
+    names, at = docs.columns, docs.columns.index(text)
+    spans = repeated_spans(spark, _keyed(docs, key, text)).toDF("doc_id", "th", "spans")
+    own = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs[key].cast("long").alias("id"), F.xxhash64(F.coalesce(docs[text], F.lit(""))).alias("hash"))
+    joined = own.join(spans, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("th")), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [
-                t if not s else _apply(t.encode(), s)[0].decode(errors="ignore")
-                for t, s in zip(b.column(text).to_pylist(), b.column("_spans").to_pylist(), strict=True)
-            ]
-            i = names.index(text)
-            yield pa.RecordBatch.from_arrays([*b.columns[:i], pa.array(texts, pa.string()), *b.columns[i + 1 : len(names)]], names)
-
-    return joined.select(*[docs[c] for c in names], spans["spans"].alias("_spans")).mapInArrow(cut, docs.schema)
+            columns = b.column("row").flatten()
+            texts = [t if not s else _apply(t.encode(), s)[0].decode(errors="ignore") for t, s in zip(columns[at].to_pylist(), b.column("spans").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns[:at], pa.array(texts, pa.string()), *columns[at + 1 :]], names)
+
+    return joined.select("row", "spans").mapInArrow(cut, docs.schema)
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

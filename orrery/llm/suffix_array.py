@@ -2,15 +2,17 @@
 
 Induced sorting goes bucket by bucket. All suffixes that a bucket holds at some moment induce their predecessors in one
 vectorised step; those that fall into the same bucket make the bucket's next step. That keeps the order of the usual
-one-by-one loops, with a number of steps near that of the distinct symbols.
+one-by-one loops, with a number of steps near that of the distinct symbols. The recursion's strings have many symbols
+and go one by one.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Strings over more symbols than this are sorted by doubling ranks: their buckets are too small to go by bucket.
-MOST_SYMBOLS = 2048
+#: A string is induced bucket by bucket if it has so many suffixes a symbol, which texts have and the recursion's reduced
+#: strings mostly don't; else suffix by suffix. Both are linear and give the same order.
+LEAST_PER_SYMBOL = 100
 
 
 def _types(t: np.ndarray) -> np.ndarray:
@@ -77,21 +79,34 @@ def _induce(t: np.ndarray, s: np.ndarray, lms: np.ndarray, count: np.ndarray) ->
     return sa
 
 
-def _doubled(t: np.ndarray) -> np.ndarray:
-    """Suffix array by doubling ranks; the recursion's base for large alphabets."""
-    n, k = len(t), 1
-    rank = np.unique(t, return_inverse=True)[1].astype(np.int64)
-    while True:
-        second = np.zeros(n, np.int64)
-        second[: n - k] = rank[k:] + 1
-        key = rank * (n + 1) + second
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        new = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
-        rank[order] = new
-        k *= 2
-        if new[-1] == n - 1 or k >= n:
-            return order.astype(np.int32)
+def _induce_one_by_one(t: np.ndarray, s: np.ndarray, lms: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """``_induce`` in the usual loops, for strings whose buckets hold too few suffixes to go by bucket."""
+    n, t = len(t), t.astype(np.int64)
+    end = np.cumsum(count)
+    head, tail = (end - count).tolist(), (end - 1).tolist()
+    left = np.where(s, -1, t).tolist()
+    first = np.full(n, -1, np.int64)
+    own = t[lms]  # in order, so equal symbols stand side by side
+    behind = np.searchsorted(own, own, side="right") - np.arange(len(own))
+    first[end[own] - behind] = lms
+    sa = first.tolist()
+    for i in range(n):
+        j = sa[i] - 1
+        if j >= 0:
+            c = left[j]
+            if c >= 0:
+                sa[head[c]] = j
+                head[c] += 1
+    right = np.where(s, t, -1).tolist()
+    del left
+    for i in range(n - 1, -1, -1):
+        j = sa[i] - 1
+        if j >= 0:
+            c = right[j]
+            if c >= 0:
+                sa[tail[c]] = j
+                tail[c] -= 1
+    return np.array(sa, np.int32)
 
 
 def suffix_array(t: np.ndarray, symbols: int) -> np.ndarray:
@@ -99,13 +114,12 @@ def suffix_array(t: np.ndarray, symbols: int) -> np.ndarray:
     n = len(t)
     if n == 1:
         return np.zeros(1, np.int32)
-    if symbols > MOST_SYMBOLS:
-        return _doubled(t)
+    induce = _induce if symbols * LEAST_PER_SYMBOL <= n else _induce_one_by_one
     count = np.bincount(t, minlength=symbols)
     s = _types(t)
     lms = np.flatnonzero(s[1:] & ~s[:-1]).astype(np.int32) + 1
     if len(lms) > 1:
-        sorted_ = _induce(t, s, lms[np.argsort(t[lms], kind="stable")], count)
+        sorted_ = induce(t, s, lms[np.argsort(t[lms], kind="stable")], count)
         is_lms = np.zeros(n, bool)
         is_lms[lms] = True
         sorted_ = sorted_[is_lms[sorted_]]
@@ -126,7 +140,7 @@ def suffix_array(t: np.ndarray, symbols: int) -> np.ndarray:
             reduced = np.zeros(len(lms), np.int64)
             reduced[order_of[sorted_]] = name
             lms = lms[suffix_array(reduced, int(name[-1]) + 1)]
-    return _induce(t, s, lms, count)
+    return induce(t, s, lms, count)
 
 
 def permuted_lcp(t: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
