@@ -2,17 +2,19 @@
 
 What is packed are lengths, and there are at most ``capacity`` of those. So the packing is planned on their histogram
 (a table of that bounded size) as bin patterns with multiplicities: best fit in decreasing order, then a local search
-that moves a piece, exchanges one for one or two for one between underfull bins as long as the sum of squared fills
-grows, which drains the emptiest bins until they are gone. Each piece then finds its sequence by its rank among the
-pieces of its length, so no task ever holds more than a slice of the pieces.
+that drains the emptiest underfull bins into others by moves and exchanges, as long as the sum of squared fills grows,
+until they are gone. Each piece then finds its sequence by its rank among the pieces of its length, so no task ever holds
+more than a slice of the pieces.
 
 Defined cases: a null or empty text is the closing id alone; a text longer than a sequence is cut so that all of its
-pieces but the first are full; repeated rows are packed as separate documents; an empty table gives no pieces; only
+pieces but the first are full; pieces of equal length are interchangeable, and rank by partition, id, piece, start and
+hash; repeated rows are packed as separate documents; an empty table gives no pieces; only
 the id and text columns are read, so other columns can't clash.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -57,79 +59,151 @@ def best_fit(histogram: dict[int, int], capacity: int) -> dict[Pattern, int]:
     return {p: n for r in rooms.values() for p, n in r.items()}
 
 
+class _Underfull:
+    """Underfull patterns by what they can give back: for each sum z of ``taken`` of their pieces, the rooms of those that
+    hold such pieces. Lists are bounded by the capacity, whatever the number of patterns."""
+
+    def __init__(self, capacity: int, taken: int):
+        self.capacity, self.taken = capacity, taken
+        self.patterns: dict[tuple[int, int], dict[Pattern, None]] = {}
+        self.has = np.zeros((capacity + 1, capacity + 1), bool)
+        self.none = 2 * capacity + 1
+        self.next = np.full((capacity + 1, capacity + 1), self.none, np.int32)
+        self.stale: set[int] = set()
+
+    def gives(self, pattern: Pattern) -> set[int]:
+        """Sums of one piece (or of none: a move), or of two."""
+        if self.taken == 1:
+            return {0, *pattern}
+        many = [x for i, x in enumerate(pattern) if pattern[:i].count(x) < 2]
+        return {many[i] + many[j] for i in range(len(many)) for j in range(i)}
+
+    def add(self, pattern: Pattern) -> None:
+        room = self.capacity - sum(pattern)
+        for z in self.gives(pattern):
+            own = self.patterns.setdefault((z, room), {})
+            own[pattern] = None
+            if not self.has[z, room]:
+                self.has[z, room] = True
+                self.stale.add(z)
+
+    def remove(self, pattern: Pattern) -> None:
+        room = self.capacity - sum(pattern)
+        for z in self.gives(pattern):
+            own = self.patterns[z, room]
+            del own[pattern]
+            if not own:
+                del self.patterns[z, room]
+                self.has[z, room] = False
+                self.stale.add(z)
+
+    def best(self, size: int, least: int) -> tuple[int, int, int]:
+        """(room left, z, room) of the fullest bin that taking ``size`` for z can make, z from ``least`` up to size - 1;
+        of equals the one that gains most."""
+        if self.stale:
+            rows = np.array(sorted(self.stale))
+            room = np.where(self.has[rows], np.arange(self.capacity + 1, dtype=np.int32), self.none)
+            self.next[rows] = np.minimum.accumulate(room[:, ::-1], axis=1)[:, ::-1]
+            self.stale.clear()
+        z = np.arange(least, size)
+        if not len(z):
+            return self.none, 0, 0
+        room = self.next[z, size - z]
+        left = room - (size - z)
+        i = int(np.argmin(left))
+        return (int(left[i]), int(z[i]), int(room[i])) if room[i] < self.none else (self.none, 0, 0)
+
+
 def local_search(bins: dict[Pattern, int], capacity: int) -> dict[Pattern, int]:
-    """Empty underfull bins: move a piece, or exchange one for one or two for one, while the sum of squared fills grows.
+    """Empty underfull bins: the emptiest one gives pieces to others, by the move, exchange of one for one, of two for one
+    or of one for two that leaves the least room in the other, as long as the sum of squared fills grows by it.
 
-    Bins of one pattern take a step together. A step goes from the emptier to the fuller bin, so that sum strictly
-    grows and the search ends; it also ends once the pieces could not fill fewer bins.
+    Bins of one pattern take a step together. The sum strictly grows, so the search ends: when no underfull bin has a
+    step left, or when the pieces could not fill fewer bins.
     """
     bins = dict(bins)
-    total = sum(sum(p) * n for p, n in bins.items())
-    least = -(-total // capacity)
+    least = -(-sum(sum(p) * n for p, n in bins.items()) // capacity)
+    ones, twos = _Underfull(capacity, 1), _Underfull(capacity, 2)
+    queue: list[tuple[int, Pattern]] = []
+    count = sum(bins.values())
+
+    def show(pattern: Pattern) -> None:
+        if sum(pattern) < capacity:
+            ones.add(pattern)
+            twos.add(pattern)
 
-    def put(pattern: Pattern, n: int) -> None:
-        if pattern and n:
-            key = tuple(sorted(pattern, reverse=True))
-            bins[key] = bins.get(key, 0) + n
+    def hide(pattern: Pattern) -> None:
+        if sum(pattern) < capacity:
+            ones.remove(pattern)
+            twos.remove(pattern)
 
-    def take(pattern: Pattern, n: int) -> None:
-        bins[pattern] -= n
+    def change(pattern: Pattern, n: int) -> None:
+        if not pattern:
+            return
+        before = bins.get(pattern, 0)
+        bins[pattern] = before + n
         if not bins[pattern]:
             del bins[pattern]
+            hide(pattern)
+        elif not before:
+            show(pattern)
+            if sum(pattern) < capacity:
+                heapq.heappush(queue, (sum(pattern), pattern))
 
     def step(low: Pattern) -> bool:
-        """One step out of ``low`` into a fuller bin, the step that fills it most."""
-        fill, best = sum(low), None
-        singles = sorted(set(low), reverse=True)
-        pairs = sorted({tuple(sorted((low[i], low[j]))) for i in range(len(low)) for j in range(i)}, key=sum, reverse=True)
-        outs = [((x,), x) for x in singles] + [(p, sum(p)) for p in pairs]
-        for high in bins:
-            room = capacity - sum(high)
-            if not room or sum(high) < fill or high == low and bins[high] < 2:
-                continue
-            backs = [((), 0)] + [((y,), y) for y in set(high)]
-            twos = [((high[i], high[j]), high[i] + high[j]) for i in range(len(high)) for j in range(i)]
-            for out, size in outs:
-                for back, less in backs + (twos if len(out) == 1 else []):
-                    if len(out) == 2 and len(back) != 1:
-                        continue
-                    gain = size - less
-                    if 0 < gain <= room and (best is None or gain - room > best[0]):
-                        best = (gain - room, high, out, back)
-                        if gain == room:
-                            return apply(low, *best[1:])
-        return best is not None and apply(low, *best[1:])
-
-    def apply(low: Pattern, high: Pattern, out: Pattern, back: Pattern) -> bool:
+        nonlocal count
+        alone = bins[low] == 1
+        if alone:
+            hide(low)
+        outs = {x + y: (x, y) for i, x in enumerate(low) if low[:i].count(x) < 2 for y in {*low[i + 1 :]}} | {x: (x,) for x in low}
+        found = [(ones.best(size, len(out) - 1), size, out, ones) for size, out in outs.items()]
+        found += [(twos.best(x, 1), x, (x,), twos) for x in set(low)]
+        (left, z, room), size, out, table = min(found, key=lambda f: (f[0][0], f[0][1] - f[1], f[2]), default=((ones.none, 0, 0), 0, (), ones))
+        high = next(iter(table.patterns[z, room])) if left < capacity - sum(low) else None
+        if alone:
+            show(low)
+        if high is None:
+            return False
+        back = () if not z else (z,) if table is ones else _pair(high, z)
         n = bins[low] // 2 if high == low else min(bins[low], bins[high])
         new_low, new_high = list(low), list(high)
         for x in out:
             new_low.remove(x)
         for y in back:
             new_high.remove(y)
-        take(low, n)
-        take(high, n)
-        put(tuple(new_low) + back, n)
-        put(tuple(new_high) + out, n)
+        new_low, new_high = (tuple(sorted(p, reverse=True)) for p in (new_low + list(back), new_high + list(out)))
+        change(low, -n)
+        change(high, -n)
+        change(new_low, n)
+        change(new_high, n)
+        count -= 0 if new_low else n
         return True
 
-    stuck: set[Pattern] = set()
-    moved = False
-    while sum(bins.values()) > least:
-        low = min((p for p in bins if sum(p) < capacity and p not in stuck), key=lambda p: (sum(p), p), default=None)
-        if low is not None:
-            if step(low):
+    for p in list(bins):
+        show(p)
+    moved = True
+    while moved:  # what found no step may find one among the bins as they are after others' steps
+        moved = False
+        queue[:] = sorted((sum(p), p) for p in bins if sum(p) < capacity)
+        while queue and count > least:
+            _, low = heapq.heappop(queue)
+            while low in bins and count > least and step(low):
                 moved = True
-            else:
-                stuck.add(low)
-        elif moved:  # what found no step may find one among the bins as they are now
-            stuck.clear()
-            moved = False
-        else:
-            break
+                if queue and queue[0][0] < sum(low):
+                    if low in bins:
+                        heapq.heappush(queue, (sum(low), low))
+                    break
     return bins
 
 
+def _pair(pattern: Pattern, total: int) -> Pattern:
+    """Two pieces of this sum."""
+    for i, x in enumerate(pattern):
+        if total - x in pattern[i + 1 :]:
+            return x, total - x
+    raise ValueError(total)
+
+
 def _pieces(batches: Iterator[pa.RecordBatch], ranks: str, capacity: int, closing: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[tuple] = []

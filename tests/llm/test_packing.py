@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -69,8 +70,55 @@ def test_plans_hold_each_piece_once(lengths):
     assert sum(packing.local_search(first, 30).values()) <= sum(first.values())
 
 
-def test_local_search_improves_a_poor_packing():
-    assert sum(packing.local_search({(6, 2): 2, (4,): 2, (4, 4): 1}, 10).values()) == pytest.approx(3, abs=1)
+def optimum(lengths, capacity):
+    """Fewest bins, by trying every place of every piece."""
+    lengths, best = sorted(lengths, reverse=True), [len(lengths)]
+
+    def go(i, fills):
+        if len(fills) >= best[0]:
+            return
+        if i == len(lengths):
+            best[0] = len(fills)
+            return
+        for k in range(len(fills)):
+            if fills[k] + lengths[i] <= capacity and fills[k] not in fills[:k]:
+                go(i + 1, fills[:k] + [fills[k] + lengths[i]] + fills[k + 1 :])
+        go(i + 1, [*fills, lengths[i]])
+
+    go(0, [])
+    return best[0]
+
+
+def plans(lengths, capacity):
+    first = packing.best_fit({int(x): lengths.count(x) for x in lengths}, capacity)
+    return sum(first.values()), sum(packing.local_search(first, capacity).values())
+
+
+def test_against_the_optimum():
+    rnd, gaps = random.Random(3), [0, 0]
+    for _ in range(400):
+        capacity = 40
+        low = rnd.randrange(4, 12)
+        lengths = [rnd.randrange(low, low + rnd.randrange(4, 16)) for _ in range(rnd.randrange(8, 13))]
+        least, (fit, found) = optimum(lengths, capacity), plans(lengths, capacity)
+        assert least <= found <= fit
+        gaps[0] += fit - least
+        gaps[1] += found - least
+    assert gaps[0] >= 20 and gaps[1] <= gaps[0] // 3
+
+
+@pytest.mark.parametrize("low, high, n, saved", [(300, 520, 3000, 20), (200, 700, 5000, 20), (250, 345, 20000, 50), (140, 217, 400, 2)])
+def test_local_search_saves_sequences(low, high, n, saved):
+    """Fewer sequences than best fit on lengths of middle size."""
+    rng = np.random.default_rng(0)
+    fit, found = plans(rng.integers(low, high, n).tolist(), CAP)
+    assert found <= fit - saved
+
+
+def test_local_search_on_many_bins_of_a_pattern():
+    assert sum(packing.local_search({(6, 2): 2, (4,): 2, (4, 4): 1}, 10).values()) == 4
+    bins = packing.local_search({(6,): 3000, (7,): 2000, (4,): 2000}, 20)
+    assert sum(bins.values()) <= 2001 and sum(sum(p) * n for p, n in bins.items()) == 40000
 
 
 def test_local_search_tries_stuck_bins_again():
