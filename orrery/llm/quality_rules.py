@@ -1,8 +1,13 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-Each rule rejects a document by a few counts of its text. On a sample the cascade measures how long a rule takes and
-how often it rejects, and asks the rules in order of rejections per second: a document that an early rule rejects
-isn't put to the later ones. The order changes the running time alone, never the verdict.
+Each rule rejects a document by a few counts of its text. On a sample the cascade estimates what a rule costs and how often
+it rejects, and asks the rules in order of rejections per cost: a document that an early rule rejects isn't put to the
+later ones. A count is taken when the first rule asks for it, once, and not at all for documents rejected before; so a
+rule's cost is that of the counts it adds, and its rejections are those among documents that earlier rules let pass. The
+order changes the running time alone, never the verdict, and is the same in repeated runs: costs are the sample's
+characters and words times fixed prices, not clock readings.
+
+Two windows of words are taken as equal by a 64-bit hash.
 
 Defined cases: a null or empty text has no words and is rejected; texts may have any length; repeated rows are
 judged one by one; an empty table gives an empty result (and the rules' given order); columns of other names are kept.
@@ -10,20 +15,21 @@ judged one by one; an empty table gives an empty result (and the rules' given or
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import table
 
 SPACE, WORD, SYMBOL = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]+", "[#*$%&|<>]"
 #: Words in a window whose repeats count.
 WINDOW = 5
-#: Documents that the rules are timed on.
+#: Documents that rules are weighed on.
 SAMPLE_ROWS = 2000
+#: Nanoseconds that a measure takes for a character and for a word of a text, as once measured; only ratios matter.
+PRICES = {"words": (0, 129), "n_words": (0, 1), "word_chars": (31, 0), "n_symbols": (6, 0), "n_capitals": (6, 0), "lines": (6, 0), "n_lines": (0, 1), "n_dup_lines": (1, 0), "n_repeat_words": (0, 720)}
 
 
 def _count(text: Column, pattern: str) -> Column:
@@ -66,20 +72,30 @@ def _with(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def _lines(text: Column) -> Column:
+    return F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
+
+
+#: The counts that rules may ask for: what each is made from, and how.
+PARTS: dict[str, tuple[str, Callable[[Column], Column]]] = {
+    "words": ("text", words),
+    "lines": ("text", _lines),
+    "n_words": ("words", lambda w: F.size(w).cast("long")),
+    "word_chars": ("text", lambda t: F.length(t) - _count(t, SPACE)),
+    "n_symbols": ("text", lambda t: _count(t, SYMBOL)),
+    "n_capitals": ("text", lambda t: _count(t, "[A-Z]")),
+    "n_lines": ("lines", lambda x: F.size(x).cast("long")),
+    "n_dup_lines": ("lines", lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")),
+    "n_repeat_words": ("words", repeat_words),
+}
+MEASURES = tuple(n for n in PARTS if n not in ("words", "lines"))
+
+
 def measures(text: Column, word: Column | None = None) -> dict[str, Column]:
-    """The counts that rules may ask for, each a column on its own; ``word`` is the text's words, where they are at hand."""
+    """All counts, each a column on its own; ``word`` is the text's words, where they are at hand."""
     text = F.coalesce(text, F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
-    word = words(text) if word is None else word
-    return {
-        "n_words": F.size(word).cast("long"),
-        "word_chars": F.length(text) - _count(text, SPACE),
-        "n_symbols": _count(text, SYMBOL),
-        "n_capitals": _count(text, "[A-Z]"),
-        "n_lines": F.size(lines).cast("long"),
-        "n_dup_lines": _with(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "n_repeat_words": _with(word, repeat_words),
-    }
+    have = {"text": text, "words": words(text) if word is None else word, "lines": _lines(text)}
+    return {n: _with(have[of], make) if of != "text" else make(text) for n, (of, make) in PARTS.items() if n in MEASURES}
 
 
 @dataclass(frozen=True)
@@ -102,18 +118,46 @@ RULES = (
 BASE_RULES = ("few_words", "repeated_words")
 
 
+class _Asked(dict):
+    """A mapping of measures that notes which ones are looked up."""
+
+    def __missing__(self, name: str) -> Column:
+        self[name] = F.lit(0)
+        return self[name]
+
+
+def needs(rule: Rule) -> list[str]:
+    """The measures that a rule asks for, and what they are made from."""
+    rule.reject(asked := _Asked())
+    return [n for n in PARTS if n in asked or any(PARTS[m][0] == n for m in asked)]
+
+
 def cascade(spark: SparkSession, docs: DataFrame, text: str = "text", rules=RULES, rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by rejections per second on a sample of about ``rows`` documents, highest first."""
+    """The rules by rejections per cost on a sample of about ``rows`` documents: first the rule with the highest rate, then
+    the one with the highest rate among documents that pass the first, and so on."""
+    rules = list(rules)
     total = docs.count()
     if not total:
-        return list(rules)
-    sample = stored(docs.select(F.col(text).alias("text")).sample(min(1.0, rows / total), seed=7), spark)
-    m, found = measures(F.col("text")), []
-    for i, rule in enumerate(rules):
-        began = time.perf_counter()
-        rejected = sample.agg(F.count_if(rule.reject(m))).head()[0]
-        found.append((-rejected / (time.perf_counter() - began), i, rule))
-    return [rule for _, _, rule in sorted(found, key=lambda x: x[:2])]
+        return rules
+    sample = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).sample(min(1.0, rows / total), seed=7)
+    m = measures(F.col("text"))
+    judged = sample.select(F.length("text").alias("chars"), m["n_words"].alias("n"), F.array(*[r.reject(m) for r in rules]).alias("by"))
+    # at most 2 ** rules rows, whatever the sample
+    found = [(tuple(r["by"]), r["docs"], r["chars"], r["n"]) for r in judged.groupBy("by").agg(F.count("*").alias("docs"), F.sum("chars").alias("chars"), F.sum("n").alias("n")).collect()]
+    order: list[int] = []
+    have: set[str] = set()
+    while len(order) < len(rules):
+        left = [f for f in found if not any(f[0][i] for i in order)]
+        chars, n = sum(f[2] for f in left), sum(f[3] for f in left)
+
+        def rate(i: int, left=left, chars=chars, n=n) -> float:
+            cost = 1 + sum(PRICES[x][0] * chars + PRICES[x][1] * n for x in needs(rules[i]) if x not in have)
+            return sum(f[1] for f in left if f[0][i]) / cost
+
+        best = max((i for i in range(len(rules)) if i not in order), key=lambda i: (rate(i), -i))
+        order.append(best)
+        have.update(needs(rules[best]))
+    return [rules[i] for i in order]
 
 
 def passes(rules, m: Mapping[str, Column]) -> Column:
@@ -124,22 +168,42 @@ def passes(rules, m: Mapping[str, Column]) -> Column:
     return verdict
 
 
+def passes_lazily(rules, text: Column, have: Mapping[str, Column] | None = None) -> Column:
+    """``passes`` that takes each measure when the first rule asks for it, and only then; ``have`` are those at hand."""
+    rules = list(rules)
+
+    def ask(i: int, have: dict[str, Column]) -> Column:
+        if i == len(rules):
+            return F.lit(True)
+        for name in needs(rules[i]):
+            of, make = PARTS[name]
+            if name not in have and not (name in ("words", "lines") and all(n in have for n in needs(rules[i]) if PARTS[n][0] == name)):
+                return _with(make(have[of]), then(i, have, name))
+        return F.when(rules[i].reject(have), F.lit(False)).otherwise(ask(i + 1, have))
+
+    def then(i: int, have: dict[str, Column], name: str) -> Callable[[Column], Column]:
+        return lambda v: ask(i, have | {name: v})
+
+    return ask(0, {"text": F.coalesce(text, F.lit("")), **(have or {})})
+
+
 def quality_filter(spark: SparkSession, docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without the rows that a rule rejects."""
-    rules = cascade(spark, docs, text)
-    return docs.filter(_with(words(docs[text]), lambda w: passes(rules, measures(docs[text], w))))
+    return docs.filter(passes_lazily(cascade(spark, docs, text), docs[text]))
 
 
 def op10_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts that are asked for are taken of every document; the other ones by the cascade, as far as it goes."""
     docs = table(spark, sf_dir, "documents")
     order = cascade(spark, docs)
     out = docs.select("doc_id", "text", words(F.col("text")).alias("_words"))
-    cols = measures(F.col("text"), F.col("_words")) | {"n_repeat_words": repeat_words(F.col("_words"))}
-    out = out.select("doc_id", *[c.alias(n) for n, c in cols.items()])
-    m = {n: F.col(n) for n in cols}
+    all_ = measures(F.col("text"), F.col("_words")) | {"n_repeat_words": repeat_words(F.col("_words"))}
+    asked = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    out = out.select("doc_id", "text", *[all_[n].alias(n) for n in asked])
+    have = {n: F.col(n) for n in asked}
     base = [r for r in order if r.name in BASE_RULES]
-    out = out.withColumn("base_failed", ~passes(base, m)).withColumn("kept", passes(order, m))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    failed = ~passes(base, have)
+    return out.select("doc_id", *asked, failed.alias("base_failed"), passes_lazily(order, F.col("text"), have).alias("kept"))
 
 
 SQL_OP10 = r"""

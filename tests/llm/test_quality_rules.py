@@ -61,3 +61,32 @@ def test_order_does_not_change_the_verdict(spark, order):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     got = df.select("doc_id", q.passes(order, q.measures(df.text)).alias("k")).collect()
     assert all(r.k == brute(TEXTS[r.doc_id])[2] for r in got)
+
+
+def test_lazy_cascade_gives_the_same_verdicts(spark):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    for order in (q.RULES, q.RULES[::-1]):
+        got = df.select("doc_id", q.passes_lazily(order, df.text).alias("k")).collect()
+        assert all(r.k == brute(TEXTS[r.doc_id])[2] for r in got)
+
+
+def test_order_is_the_same_in_repeated_runs(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    orders = {tuple(r.name for r in q.cascade(spark, docs)) for _ in range(3)}
+    assert len(orders) == 1
+
+
+def test_rules_are_weighed_among_documents_that_pass_earlier_ones(spark):
+    """Of two rules that reject the same documents the second has no rejections left, and comes last."""
+    docs = spark.createDataFrame([(i, "w " * 20 if i % 4 else "w" if i % 8 else "w " * 20 + "#" * 9) for i in range(400)], "doc_id long, text string")
+    rules = (q.Rule("few", lambda m: m["n_words"] < 5), q.Rule("few_again", lambda m: m["n_words"] < 6), q.Rule("symbols", lambda m: m["n_symbols"] > 5))
+    assert [r.name for r in q.cascade(spark, docs, rules=rules)] in (["few", "symbols", "few_again"], ["symbols", "few", "few_again"])
+
+
+def test_the_cascade_takes_effect(spark, sf):
+    """Counts that only later rules ask for stand inside the verdict's branches, not in a projection of all documents."""
+    plan = q.op10_quality_cascade(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    kept = [x for x in plan.split("\n") if "[A-Z]" in x]
+    assert len(kept) == 1 and kept[0].index("CASE WHEN") < kept[0].index("[A-Z]") and "AS kept" in kept[0]
+    text = q.quality_filter(spark, spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("[A-Z]") == 1 and text.index("CASE WHEN") < text.index("[A-Z]")
