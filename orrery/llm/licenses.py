@@ -40,16 +40,35 @@ NOTICES = (
     ("licensed under cc by nc 4 0", "cc-by-nc"),
     ("licensed under a creative commons attribution", "cc-by"),
     ("all rights reserved", "all-rights-reserved"),
+    ("the software is provided as is without warranty of any kind express or implied", "mit"),
+    ("unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", "apache"),
+    ("you may not use this file except in compliance with the license", "apache"),
+    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gpl"),
+    ("licensed under the gnu affero general public license", "agpl"),
+    ("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products", "bsd"),
+    ("this is free and unencumbered software released into the public domain", "unlicense"),
+    ("licensed under the eclipse public license", "epl"),
+    ("distributed under the boost software license version 1 0", "bsl"),
+    ("spdx license identifier mit", "mit"),
+    ("spdx license identifier apache 2 0", "apache"),
+    ("spdx license identifier gpl 2 0", "gpl"),
+    ("spdx license identifier gpl 3 0", "gpl"),
+    ("spdx license identifier lgpl 2 1", "lgpl"),
+    ("spdx license identifier agpl 3 0", "agpl"),
+    ("spdx license identifier bsd 2 clause", "bsd"),
+    ("spdx license identifier bsd 3 clause", "bsd"),
+    ("spdx license identifier isc", "isc"),
+    ("spdx license identifier mpl 2 0", "mpl"),
 )
-#: One edit is allowed for so many characters of a notice.
-CHARS_PER_ERROR = 14
+#: One edit is allowed for so many characters of a notice, and no more than so many in all.
+CHARS_PER_ERROR, MOST_ERRORS = 14, 6
 
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
 
 
 def errors_of(notice: str) -> int:
-    return max(1, len(notice) // CHARS_PER_ERROR)
+    return min(MOST_ERRORS, max(1, len(notice) // CHARS_PER_ERROR))
 
 
 def pieces(notice: str, errors: int) -> list[tuple[int, str]]:
@@ -80,6 +99,23 @@ def _compiled(phrases: tuple, notices: tuple):
     return automaton, patterns
 
 
+def _matches(patterns: list, text: str, lo: int, hi: int, size: int) -> list:
+    """All matches of a notice in a window that don't overlap: those with the fewest edits first, and then, between what
+    has been found, those with one edit more, up to the bound."""
+    found, gaps = [], [(lo, hi)]
+    for edits, pattern in enumerate(patterns):
+        left = []
+        for a, z in gaps:
+            at = a
+            for m in pattern.finditer(text, a, z) if z - a >= size - edits else ():
+                found.append(m)
+                left.append((at, m.start()))
+                at = m.end()
+            left.append((at, z))
+        gaps = left
+    return found
+
+
 def _scan(t: Texts, phrases: tuple, notices: tuple) -> dict[str, list]:
     """Per row of t: words, base places as (word, label), and notices as (label, start byte, end byte, edits, length)."""
     automaton, patterns = _compiled(phrases, notices)
@@ -118,11 +154,7 @@ def _scan(t: Texts, phrases: tuple, notices: tuple) -> dict[str, list]:
                 own.append((lo, hi))
     for (row, notice), own in windows.items():
         for lo, hi in own:
-            for tight in patterns[notice]:
-                hits = list(tight.finditer(text, lo, hi))
-                if hits:
-                    break
-            for m in hits:
+            for m in _matches(patterns[notice], text, lo, hi, len(notices[notice][0])):
                 a, z = int(keep[m.start()] - t.at[row]), int(keep[m.end() - 1] - t.at[row]) + 1
                 fuzzy[row].append((notices[notice][1], a, z, sum(m.fuzzy_counts), len(notices[notice][0])))
     for row in range(rows):

@@ -72,6 +72,31 @@ def test_spans_point_into_the_text(spark):
     assert r.base_labels == "" and r.labels == "all-rights-reserved,mit" and r.score == 1.0
 
 
+def test_every_match_of_a_text_is_found(spark):
+    """Several notices in one text, side by side and with different numbers of edits, against a search by dynamic programming."""
+    rnd, docs = random.Random(7), [(0, "all rights reserved all rights resrved"), (1, "Licensed under the Apache License version 2.0, licensed under the apache licence version 2.0")]
+    for i in range(2, 60):
+        parts = []
+        for _ in range(rnd.randrange(2, 6)):
+            notice = rnd.choice([n for n, _ in licenses.NOTICES][:3] + ["all rights reserved"])
+            s = list(notice)
+            for _ in range(rnd.randrange(0, licenses.errors_of(notice) + 1)):
+                s[rnd.randrange(1, len(s) - 1)] = rnd.choice("qxz")
+            parts.append("".join(s))
+            if rnd.random() < 0.4:
+                parts.append("vortex plume")
+        docs.append((i, " ".join(parts)))
+    found = {r.doc_id: r.spans for r in licenses.scan_licenses(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [s.errors for s in found[0]] == [0, 1] and [s.errors for s in found[1]] == [0, 1]
+    for i, text in docs:
+        clean = low(text).replace(".", " ").replace(",", "")
+        assert all(min(distance(n, low(text)[s.start : s.end].replace(".", " ")) for n, x in licenses.NOTICES if x == s.label) <= s.errors for s in found[i])
+        left = clean
+        for s in reversed(found[i]):  # nothing is left that a notice fits
+            left = left[: s.start] + "#" + left[s.end :] if len(clean) == len(text) else ""
+        assert all(distance(n, part) > licenses.errors_of(n) for n, _ in licenses.NOTICES for part in left.split("#") if len(part) >= len(n) - licenses.errors_of(n))
+
+
 def test_odd_rows(spark):
     docs = [(1, None), (2, ""), (3, "mit"), (4, "license mit"), (5, "x MIT\n\nLicense mit license"), (6, "limit license"), (7, "mit licenses"), (8, "é general—public license"), (9, "w " * 60000 + "apache license")]
     df = spark.createDataFrame([(i, t, 1.0, "a") for i, t in docs], "doc_id long, text string, score double, labels string")
