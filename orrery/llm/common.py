@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..shipping import ship
 from ..sources.tables import read_parquet, spread
@@ -28,7 +30,8 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder that the cluster shares, from ``spark.checkpoint.dir``; in local mode, where that may be unset, one of
+    our own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at
@@ -36,6 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
     if has.isDefined():
         return has.get()
     app = spark.sparkContext.applicationId
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if app not in _own_dirs:
         _own_dirs[app] = f"file://{tempfile.mkdtemp(prefix='orrery-')}"
     return _own_dirs[app]
@@ -45,6 +50,8 @@ def stored(df: DataFrame, spark: SparkSession) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: the lineage ends there, and any
     executor may be lost afterwards. Row groups are small, so that later scans split evenly."""
     path = f"{_stored_dir(spark)}/{uuid.uuid4().hex}"
+    for paths in _recorders:
+        paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -53,10 +60,29 @@ def _stored_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/orrery/{spark.sparkContext.applicationId}"
 
 
+_recorders: list[list[str]] = []
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths of the tables that are stored meanwhile."""
+    paths: list[str] = []
+    _recorders.append(paths)
+    try:
+        yield paths
+    finally:
+        _recorders[:] = [p for p in _recorders if p is not paths]
+
+
+def discard(spark: SparkSession, paths: Iterable[str]) -> None:
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def tidy(spark: SparkSession) -> None:
     """Delete what this application has stored, once no table that is made of it is read any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_stored_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    discard(spark, [_stored_dir(spark)])
 
 
 def checkpointed(df: DataFrame, spark: SparkSession) -> DataFrame:
@@ -66,6 +92,20 @@ def checkpointed(df: DataFrame, spark: SparkSession) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def numbered(spark: SparkSession, rows: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
+    """``rows`` (stored) with a number that follows the order of ids, nulls last, and its column's name."""
+    number = "row"
+    while number in rows.columns:
+        number += "_"
+    ordered = rows.orderBy(F.col(key).cast("long").asc_nulls_last(), F.xxhash64(text), F.monotonically_increasing_id())
+    return stored(ordered.withColumn(number, F.monotonically_increasing_id()), spark), number
+
+
+def unclear(ids: DataFrame) -> bool:
+    """Whether ids (one column) are null or repeated anywhere."""
+    return bool(ids.toDF("id").groupBy("id").count().filter("id IS NULL OR count > 1").limit(1).count())
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """What every operator that runs Python on executors begins with: the sources are there, and batches are small."""
     ship(spark)

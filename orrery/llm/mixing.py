@@ -8,9 +8,9 @@ A source may hold most rows, so no task gets a source as a whole: rows are range
 partition reports a sum per source that it holds (partitions + sources rows in all), and the running sums start there.
 
 Defined cases: a null or empty text has size 0 and is taken 0 words; a null source is a source of its own, last in
-order; a null or non-positive quality weight counts as the least weight; equal keys are ordered by id, size and
-text hash, and rows equal in all of these are interchangeable; a source without words has target 0; an empty table
-gives no rows. Columns other than those named are carried along untouched by ``mix_documents``.
+order; a null or non-positive quality weight counts as the least weight; equal keys are ordered by id and size, and
+rows equal in these are interchangeable; a source without words has target 0; an empty table gives no rows; over
+MOST_SOURCES sources are an error. Columns other than those named are carried along untouched by ``mix_documents``.
 """
 
 from __future__ import annotations
@@ -22,15 +22,17 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Texts, checkpointed, mix, small_batches, steps, stored, table, word_spans
+from .common import Texts, checkpointed, mix, numbered, small_batches, steps, stored, table, unclear, word_spans
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST_EPOCHS = 2.0
 SEED = 20240501
+#: Sources whose sizes and targets the driver plans: a row each, and one for each that goes on in another partition.
+MOST_SOURCES = 200_000
 #: Quality weights lie between this and 1.
 LEAST_WEIGHT = 0.05
 
@@ -100,6 +102,8 @@ def mix_sources(
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(source).cast("string").alias("source"), F.coalesce(quality, F.lit(LEAST_WEIGHT) if weight else quality).alias("weight"))
     found = stored(rows.mapInArrow(lambda it: _features(it, seed), "doc_id long, source string, size long, key double"), spark)
 
+    if found.select("source").distinct().limit(MOST_SOURCES + 1).count() > MOST_SOURCES:
+        raise ValueError(f"targets are planned for {MOST_SOURCES} sources at most")
     per_source = [(r["source"], r["size"]) for r in found.groupBy("source").agg(F.sum("size").alias("size")).collect()]
     per_source.sort(key=lambda x: (x[0] is None, x[0] or ""))
     size_of = dict(per_source)
@@ -143,35 +147,26 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mix_documents(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """``docs`` as the mix takes them: a document stands once for each time it is taken, its text cut after the last
-    word taken where that is part of it; documents that aren't taken are gone. Rows that repeat an id share what they
-    are taken, in the order of their sizes."""
-    taken = mix_sources(spark, docs, key, text, source, **options).select("doc_id", "source", "size", "taken")
-    order = Window.partitionBy("doc_id", "source", "size").orderBy("taken")
-    taken = taken.filter("taken > 0").withColumn("nth", F.row_number().over(order))
-    size = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    own = docs.withColumn("_size", size)
-    own = own.withColumn("_nth", F.row_number().over(Window.partitionBy(key, source, "_size").orderBy(text)))
-    match = (
-        own[key].cast("long").eqNullSafe(taken["doc_id"])
-        & own[source].cast("string").eqNullSafe(taken["source"])
-        & (own["_size"] == taken["size"])
-        & (own["_nth"] == taken["nth"])
-    )
-    joined = own.join(taken, match).select(*[own[c] for c in docs.columns], taken["size"].alias("_size"), taken["taken"].alias("_taken"))
+    word taken where that is part of it; documents that aren't taken are gone. Where ids are null or repeated, rows are
+    documents of their own, told apart by a number that follows the order of ids."""
+    rows, number = numbered(spark, docs, key, text) if unclear(docs.select(F.col(key).cast("long"))) else (docs, key)
+    taken = mix_sources(spark, rows, number, text, source, **options).filter("taken > 0").select("doc_id", "size", "taken")
     names, at = docs.columns, docs.columns.index(text)
+    own = rows.select(rows[number].cast("long").alias("doc_id"), F.struct(*[rows[c] for c in names]).alias("row"))
 
     def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            columns = b.column("row").flatten()
             row, texts = [], []
-            for i, (body, size_, left) in enumerate(zip(*[b.column(c).to_pylist() for c in (text, "_size", "_taken")], strict=True)):
+            for i, (body, size, left) in enumerate(zip(columns[at].to_pylist(), *[b.column(c).to_pylist() for c in ("size", "taken")], strict=True)):
                 while left > 0:
                     row.append(i)
-                    texts.append(body if left >= size_ else _first_words(body, left))
-                    left -= size_
-            out = b.take(pa.array(row, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*out.columns[:at], pa.array(texts, pa.string()), *out.columns[at + 1 : len(names)]], names)
+                    texts.append(body if left >= size else _first_words(body, left))
+                    left -= size
+            out = [c.take(pa.array(row, pa.int64())) for c in columns]
+            yield pa.RecordBatch.from_arrays([*out[:at], pa.array(texts, pa.string()), *out[at + 1 :]], names)
 
-    return joined.mapInArrow(copies, docs.schema)
+    return own.join(taken, "doc_id").select("row", "size", "taken").mapInArrow(copies, docs.schema)
 
 
 def _first_words(text: str, n: int) -> str:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, shingle_hashes, small_batches, steps, stored, table, word_hashes
+from .common import mix, numbered, shingle_hashes, small_batches, steps, stored, table, unclear, word_hashes
 from .components import components, scan
 
 WIDTH = 5
@@ -368,28 +368,14 @@ def _in_rounds(spark: SparkSession, rows: DataFrame) -> DataFrame:
         sent.unpersist()
 
 
-def _numbered(spark: SparkSession, rows: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
-    """``rows`` (stored) with a number that follows the order of ids, nulls last, and its column's name."""
-    number = "row"
-    while number in rows.columns:
-        number += "_"
-    ordered = rows.orderBy(F.col(key).cast("long").asc_nulls_last(), F.xxhash64(text), F.monotonically_increasing_id())
-    return stored(ordered.withColumn(number, F.monotonically_increasing_id()), spark), number
-
-
-def _unclear(ids: DataFrame) -> bool:
-    """Whether ids (one column) are null or repeated anywhere."""
-    return bool(ids.toDF("id").groupBy("id").count().filter("id IS NULL OR count > 1").limit(1).count())
-
-
 def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", task_shingles: int = TASK_SHINGLES) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     small_batches(spark)
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     found = _described(spark, docs)
-    if not _unclear(found.select("doc_id")):
+    if not unclear(found.select("doc_id")):
         return _labelled(spark, docs, found, task_shingles)
-    rows, number = _numbered(spark, docs, "doc_id", "text")
+    rows, number = numbered(spark, docs, "doc_id", "text")
     ids = rows.select(F.col(number).alias("n"), "doc_id")
     by_number = rows.select(F.col(number).alias("doc_id"), "text")
     out = _labelled(spark, by_number, _described(spark, by_number), task_shingles).withColumnsRenamed({"doc_id": "n", "component_id": "root"})
@@ -429,7 +415,7 @@ def _sets_of(candidates: DataFrame) -> DataFrame:
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each group of near-duplicates. Where ids are null or repeated, rows are told apart by a
     number that follows the order of ids, nulls last."""
-    rows, number = _numbered(spark, docs, key, text) if _unclear(docs.select(F.col(key).cast("long"))) else (docs, key)
+    rows, number = numbered(spark, docs, key, text) if unclear(docs.select(F.col(key).cast("long"))) else (docs, key)
     gone = near_duplicates(spark, rows, number, text).filter(~F.col("kept")).select(F.col("doc_id").alias(number))
     return rows.join(gone, number, "left_anti").select(*docs.columns)
 

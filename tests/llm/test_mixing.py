@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 
 from hypothesis import given
 from hypothesis import strategies as st
@@ -57,3 +58,21 @@ def test_heavier_documents_come_first(spark):
     df = spark.createDataFrame([(i, "w " * 10, "s", 0.05 if i % 2 else 1.0) for i in range(400)], "doc_id long, text string, source string, q double")
     rows = mixing.mix_sources(spark, df, weight="q", share=0.5).collect()
     assert sum(r.taken for r in rows if r.doc_id % 2 == 0) > 3 * sum(r.taken for r in rows if r.doc_id % 2)
+
+
+def test_rows_of_any_kind_are_mixed_as_documents(spark):
+    """Nulls, repeated ids and rows, clashing names: each row is taken or not by itself, and other columns stay its own."""
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(5 + i % 7)), f"s{i % 2}") for i in range(30)]
+    rows += [(3, "other text of three", "s1"), (None, "no id at all", "s0"), (None, "no id either", None), (4, None, "s0"), (None, None, None), rows[5], rows[5], (9, "", "s1")]
+    names = ["doc_id", "text", "source", "_size", "_nth", "_taken", "size", "taken", "nth", "row"]
+    df = spark.createDataFrame([(*r, *[f"{k}-{n}" for n in names[3:]]) for k, r in enumerate(rows)], ", ".join(f"{n} {'long' if n == 'doc_id' else 'string'}" for n in names))
+    out = mixing.mix_documents(spark, df, share=1.0)
+    assert out.columns == names
+    counts, total = Counter(), 0
+    for r in out.collect():
+        k = int(r["row"].split("-")[0])
+        assert (r.doc_id, r.source) == (rows[k][0], rows[k][2]) and rows[k][1].startswith(r.text) and all(r[n] == f"{k}-{n}" for n in names[3:])
+        counts[k] += 1
+        total += len(WORD.findall(r.text))
+    assert max(counts.values()) <= 2 and abs(total - sum(len(WORD.findall(t or "")) for _, t, _ in rows)) <= 2
+    assert mixing.mix_documents(spark, df.limit(0)).collect() == []

@@ -93,6 +93,11 @@ def test_packing(stages):
     assert got == want
 
 
+def test_run_equals_its_stages(spark, sf, stages):
+    rows = lambda df: Counter(tuple(r) for r in df.select("doc_id", "piece", "start", "length", "ids_crc32").collect())
+    assert rows(corpus_pipeline.run(spark, sf)) == rows(stages[5])
+
+
 def test_registered_queries():
     names = __spark_entry__.queries()
     assert sorted(n.split("_")[0] for n in names if n.startswith("op")) == sorted(f"op{i}" for i in range(1, 11)) and "pipeline" in names
