@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm.common import stored, table
+from orrery.llm.common import discard, recorded, stored, table
 from orrery.llm.exact_substr import remove_repeats
 from orrery.llm.mixing import mix_documents
 from orrery.llm.neardup import near_duplicate_filter
@@ -49,9 +49,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Each stage's output is stored; what it was made from is deleted then, so that the disk holds one stage at a time."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = stored(docs, spark)
+        last = i + 1 == len(STAGES)
+        with recorded() as made:
+            docs = stage(spark, docs, sf_dir)
+            if not last:
+                docs = stored(docs, spark)
+        if not last:
+            discard(spark, [*before, *made[:-1]])
+            before = made[-1:]
     return docs
