@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from .plans.oracle import SQL
-from .plans.queries import QUERIES, WHOLE
+from .plans import evidence, evidence_sql, oracle, queries
+
+QUERIES = queries.QUERIES | evidence.QUERIES
+WHOLE = queries.WHOLE
+SQL = oracle.SQL | evidence_sql.SQL
 
 __all__ = ["QUERIES", "SQL", "WHOLE"]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from .statistics import running_sum
 
 # Fixed names and threshold of the published decision.
 METHODS = ("raw_cosine", "raw_euclidean", "token_length", "true_oracle", "predicted_executor")
@@ -70,8 +71,7 @@ def decision(scores: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def offsets(counts: DataFrame) -> DataFrame:
     """Where each query's pairs start in the stream of all pairs: counts of the queries before it, summed."""
-    before = Window.orderBy("query_index").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("offset", F.coalesce(F.sum("pair_count").over(before), F.lit(0)))
+    return running_sum(counts, ["query_index"], F.col("pair_count"), "offset")
 
 
 def misplaced_pairs(pairs: DataFrame) -> DataFrame:

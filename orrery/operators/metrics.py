@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .statistics import running_sum
+
 EPSILON = 2.220446049250313e-16
 
 
@@ -27,8 +29,8 @@ def roc_auc(rows: DataFrame) -> DataFrame:
     """Share of (positive, negative) pairs that the scores order rightly, ties counting half. Rows are summed per distinct
     score before the running sum over scores."""
     per = rows.groupBy("p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    before = F.coalesce(F.sum("neg").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    per = per.withColumn("won", F.col("pos") * (before + F.col("neg") / 2.0))
+    per = running_sum(per, ["p"], F.col("neg"), "before")
+    per = per.withColumn("won", F.col("pos") * (F.col("before") + F.col("neg") / 2.0))
     return per.agg(F.try_divide(F.sum("won"), F.sum("pos").cast("double") * F.sum("neg")).alias("roc_auc"))
 
 

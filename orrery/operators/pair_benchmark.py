@@ -8,7 +8,7 @@ from pathlib import Path
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +18,7 @@ from ..functions import vectors as V
 from ..sources import jsonl
 from ..sources.arrays import SNAPSHOT_KEYS
 from .metrics import binary_metrics
+from .statistics import running_sum
 
 # Fixed values of the benchmark.
 SPLITS = ("train", "validation", "test")
@@ -118,10 +119,9 @@ class PairModel:
 
 def shuffled(rows: DataFrame, seed: int) -> DataFrame:
     """``rows`` with their labels permuted: a seeded hash orders the labels, which are dealt to rows in order of id."""
-    by_id = Window.orderBy("example_id")
-    by_hash = Window.orderBy(F.xxhash64("example_id", F.lit(seed)), "example_id")
-    labels = rows.select("y", F.row_number().over(by_hash).alias("n"))
-    return rows.drop("y").withColumn("n", F.row_number().over(by_id)).join(labels, "n").drop("n")
+    hashed = rows.select("y", "example_id", F.xxhash64("example_id", F.lit(seed)).alias("h"))
+    labels = running_sum(hashed, ["h", "example_id"], F.lit(1), "n").select("y", "n")
+    return running_sum(rows.drop("y"), ["example_id"], F.lit(1), "n").join(labels, "n").drop("n")
 
 
 def evaluate(table: DataFrame, seed: int) -> list[PairScore]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -14,8 +16,10 @@ from ..functions import vectors as V
 from .projection import Projection
 
 HIT_SCHEMA = "rank int, index long, relation_distance double, cosine_distance double"
-#: Sources that are searched for at once by ``search_many``; more are worked on in turns.
-SOURCE_BLOCK = 2_000
+#: Bytes of sources that go to all tasks at once in ``search_many``; more take further scans of the targets.
+SENT_BYTES = 64 << 20
+#: Targets that a task ranks together, and distances that it holds at a time.
+TARGET_ROWS, DISTANCES = 16_384, 1 << 21
 
 
 def _whole(name: str, value) -> None:
@@ -30,9 +34,12 @@ def _checked(targets: DataFrame, dimensions: int, exclude: int | None) -> int:
         F.count_if(~V.is_finite(F.col("e")) | (F.size("e") != dimensions)).alias("bad"),
         F.count_if(~F.coalesce(F.exists("e", lambda x: x != 0), F.lit(False))).alias("zero"),
         F.count_if(F.col("index") == F.lit(exclude)).alias("excluded"),
+        F.count_if(F.col("index").isNull()).alias("unnamed"),
     ).head()
     if not s["n"]:
         return 0
+    if s["unnamed"]:
+        raise CoordinateError("each row needs an index")
     if s["bad"]:
         raise CoordinateError("targets must be finite and have the projection's dimensions")
     if exclude is not None and not s["excluded"]:
@@ -100,6 +107,44 @@ def _distances(sources: np.ndarray, targets: np.ndarray, projection: Projection)
     return cosine, relation
 
 
+def _best(order: tuple[np.ndarray, ...], most: int) -> np.ndarray:
+    """Places of the ``most`` least of (last, ..., first) keys, as ``lexsort`` has them; only what can be among them is sorted."""
+    first = order[-1]
+    if len(first) <= most:
+        return np.lexsort(order)
+    near = np.flatnonzero(first <= first[np.argpartition(first, most - 1)[most - 1]])
+    return near[np.lexsort(tuple(k[near] for k in order))][:most]
+
+
+def _scanned(rows: DataFrame, ids: np.ndarray, x: np.ndarray, projection: Projection, most: int, pooled: bool, exclude_self: bool) -> DataFrame:
+    """For each of some sources and each lot of targets, the targets that can still count."""
+
+    def lot(target: np.ndarray, e: np.ndarray) -> Iterator[pa.RecordBatch]:
+        step = max(1, DISTANCES // len(target))
+        for lo in range(0, len(ids), step):
+            cosine, relation = _distances(x[lo : lo + step], e, projection)
+            out: list[list[np.ndarray]] = [[], [], [], []]
+            for me, c, r in zip(ids[lo : lo + step], cosine, relation, strict=True):
+                best = _best((target, c) if pooled else (target, c, r), most + exclude_self)
+                best = best[target[best] != me][:most] if exclude_self else best
+                for to, v in zip(out, (np.full(len(best), me), target[best], r[best], c[best]), strict=True):
+                    to.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["source", "index", "relation_distance", "cosine_distance"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for b in batches:
+            if b.num_rows:
+                held.append((b.column("index").to_numpy(), b.column("e").flatten().to_numpy().reshape(b.num_rows, -1)))
+            if sum(len(t) for t, _ in held) >= TARGET_ROWS:
+                yield from lot(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                held = []
+        if held:
+            yield from lot(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+    return rows.mapInArrow(run, "source long, index long, relation_distance double, cosine_distance double")
+
+
 def search_many(
     projection: Projection,
     sources: DataFrame,
@@ -110,12 +155,13 @@ def search_many(
     exclude_self: bool = True,
     index: str = "vec_id",
     embedding: str = "embedding",
-    block: int = SOURCE_BLOCK,
+    sent_bytes: int = SENT_BYTES,
 ) -> DataFrame:
-    """``search`` for each source: source, rank, index, relation_distance, cosine_distance.
+    """``search`` for each source: source, rank, index, relation_distance, cosine_distance. Indexes of sources must differ.
 
-    Sources go to all tasks in blocks of a fixed size. A task keeps, per batch and source, no more rows than can still
-    count (the pool, or k), so the one shuffle is bounded by those.
+    Sources come in one pass and go to all tasks, in as many lots as their size asks for; each lot is one scan of the
+    targets. A task keeps, per lot of targets and source, no more rows than can still count (the pool, or k), so the one
+    shuffle is bounded by those. Every source meets every target: the result is exact, and the work is their product.
     """
     _whole("k", k)
     if k <= 0:
@@ -129,39 +175,16 @@ def search_many(
     asked = sources.select(F.col(index).cast("long").alias("index"), F.col(embedding).cast("array<double>").alias("e"))
     for part in (rows, asked):
         _checked(part, projection.dimensions, None)
-    most = candidate_pool or k
-
-    def scan(own: list, projection=projection):
-        ids, x = np.array([r["index"] for r in own], np.int64), np.array([r["e"] for r in own], np.float64)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                target = b.column("index").to_numpy()
-                cosine, relation = _distances(x, b.column("e").flatten().to_numpy().reshape(b.num_rows, -1), projection)
-                out: list[list[np.ndarray]] = [[], [], [], []]
-                for i in range(len(ids)):
-                    keys = (target, cosine[i]) if candidate_pool else (target, cosine[i], relation[i])
-                    best = np.lexsort(keys)
-                    best = best[target[best] != ids[i]][:most] if exclude_self else best[:most]
-                    for to, v in zip(out, (np.full(len(best), ids[i]), target[best], relation[i, best], cosine[i, best]), strict=True):
-                        to.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["source", "index", "relation_distance", "cosine_distance"])
-
-        return run
-
-    found, last = None, None
-    while True:
-        page = asked if last is None else asked.filter(F.col("index") > last)
-        own = page.orderBy("index").limit(block).collect()
-        if not own:
-            break
-        last = own[-1]["index"]
-        part = rows.mapInArrow(scan(own), "source long, index long, relation_distance double, cosine_distance double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
+    if asked.groupBy("index").count().filter("count > 1").limit(1).count():
+        raise CoordinateError("the sources' indexes repeat")
+    most, lot = candidate_pool or k, max(1, sent_bytes // (8 * projection.dimensions))
+    parts, own = [], asked.toLocalIterator(prefetchPartitions=True)
+    while page := list(itertools.islice(own, lot)):
+        ids, x = np.array([r["index"] for r in page], np.int64), np.array([r["e"] for r in page], np.float64)
+        parts.append(_scanned(rows, ids, x, projection, most, candidate_pool is not None, exclude_self))
+    if not parts:
         return spark.createDataFrame([], "source long, " + HIT_SCHEMA)
+    found = functools.reduce(DataFrame.unionByName, parts)
     by = Window.partitionBy("source")
     if candidate_pool:
         found = found.withColumn("n", F.row_number().over(by.orderBy("cosine_distance", "index"))).filter(F.col("n") <= candidate_pool)

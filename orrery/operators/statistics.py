@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Up to so many rows Spark's exact percentile, which holds a column's distinct values, is used directly.
@@ -26,7 +26,6 @@ def percentiles(df: DataFrame, columns: Sequence[Column], shares: Sequence[float
     if max(counts, default=0) <= direct_rows:
         row = named.agg(*[F.percentile(c, list(shares)).alias(c) for c in named.columns]).head()
         return [list(row[c]) if row[c] is not None else [None] * len(shares) for c in named.columns]
-    counts = named.agg(*[F.count(c).alias(c) for c in named.columns]).head()
     return [[_ranked(named, c, counts[c], s, direct_rows) for s in shares] for c in named.columns]
 
 
@@ -108,3 +107,24 @@ def cross_products(df: DataFrame, x: str, y: str, width: int, x_mean=None, y_mea
         return n, total, np.zeros((0, 0)), np.zeros((0, 0))
     d, r = width, len(y_mean)
     return n, total[: d + r], total[d + r : d + r + d * d].reshape(d, d), total[d + r + d * d :].reshape(d, r)
+
+
+def running_sum(rows: DataFrame, order: Sequence[str], value: Column, into: str) -> DataFrame:
+    """``rows`` with the sum of ``value`` over all rows before, in the order of columns that have no ties.
+
+    Ranges of the order are summed one by one, each from where those before it end; so no task sees all rows, and what
+    reaches the driver is a sum for each partition."""
+    spark = rows.sparkSession
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    names = {"part": "part", "own": "own", "before": "before"}
+    for k in names:
+        while names[k] in (*rows.columns, into):
+            names[k] += "_"
+    part, own, before = names.values()
+    ranged = rows.withColumn(own, value.cast("long")).repartitionByRange(n, *order).withColumn(part, F.spark_partition_id())
+    sums = sorted((r[part], r["n"]) for r in ranged.groupBy(part).agg(F.sum(own).alias("n")).collect())
+    totals = np.concatenate([[0], np.cumsum([x for _, x in sums])[:-1]]) if sums else []
+    starts = spark.createDataFrame([(int(p), int(t)) for (p, _), t in zip(sums, totals, strict=True)], f"{part} int, {before} long")
+    here = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = ranged.withColumn(into, F.coalesce(F.sum(own).over(here), F.lit(0)))
+    return inside.join(F.broadcast(starts), part).withColumn(into, (F.col(into) + F.col(before)).cast("long")).drop(part, own, before)

@@ -19,21 +19,26 @@ u AS (SELECT avg(x1) AS a1, avg(x2) AS a2, avg(y) AS ay FROM z),
 g AS (SELECT sum((x1 - a1) * (x1 - a1)) + 1 AS a, sum((x1 - a1) * (x2 - a2)) AS b, sum((x2 - a2) * (x2 - a2)) + 1 AS d, sum((x1 - a1) * (y - ay)) AS p, sum((x2 - a2) * (y - ay)) AS r FROM z, u),
 w AS (SELECT (d * p - b * r) / (a * d - b * b) AS w1, (a * r - b * p) / (a * d - b * b) AS w2 FROM g),
 model AS (SELECT w1, w2, ay - a1 * w1 - a2 * w2 AS b0, m, s FROM w, u, q)"""
-FAR = "abs(w1 * (t.x1 - s.x1) + w2 * (t.x2 - s.x2))"
-COSINE = "1 - greatest(-1, least(1, (t.x1 * s.x1 + t.x2 * s.x2) / (sqrt(t.x1 * t.x1 + t.x2 * t.x2) * sqrt(s.x1 * s.x1 + s.x2 * s.x2))))"
-
-
 def _distance(expression: str) -> str:
     return f"SELECT a.vec_id, round({expression}, 6) + 0.0 AS distance FROM {E} a, (SELECT e FROM {E} WHERE vec_id = 0) b"
 
 
+_FIXED = [f"(list_dot_product({{0}}, list_transform(range(1, len({{0}}) + 1), lambda i: sin(i * {j + 1}))) + {0.5 * j})" for j in range(3)]
+
+
+def _far(a: str, b: str) -> str:
+    return "greatest(" + ", ".join(f"abs({x.format(a)} - {x.format(b)})" for x in _FIXED) + ")"
+
+
+def _cosine(a: str, b: str) -> str:
+    return f"1 - greatest(-1, least(1, list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})))))"
+
+
 def _search(exclude: bool, pool: int | None) -> str:
-    where = "WHERE t.vec_id <> 0" if exclude else ""
-    limit = f"ORDER BY cosine_distance, index LIMIT {pool}" if pool else ""
-    return f"""WITH {MODEL},
-f AS (SELECT t.vec_id AS index, {FAR} AS relation_distance, {COSINE} AS cosine_distance FROM {PLANAR} t, (SELECT * FROM {PLANAR} WHERE vec_id = 0) s, w {where} {limit})
+    return f"""WITH f AS (SELECT t.vec_id AS index, {_far("t.e", "s.e")} AS relation_distance, {_cosine("t.e", "s.e")} AS cosine_distance FROM {E} t JOIN {E} s ON s.vec_id = 0 {"AND t.vec_id <> 0" if exclude else ""}),
+k AS (SELECT * FROM f {f"QUALIFY row_number() OVER (ORDER BY cosine_distance, index) <= {pool}" if pool else ""})
 SELECT (row_number() OVER (ORDER BY relation_distance, cosine_distance, index))::INTEGER AS rank, index, round(relation_distance, 6) AS relation_distance, round(cosine_distance, 6) AS cosine_distance
-FROM f ORDER BY rank LIMIT 10"""
+FROM k QUALIFY row_number() OVER (ORDER BY relation_distance, cosine_distance, index) <= 10"""
 
 
 PAIRS = f"""
@@ -93,8 +98,7 @@ SELECT i::INTEGER AS i, r::INTEGER AS j, round(sum(x * y), 3) AS value FROM c JO
     "search_topk": _search(False, None),
     "search_exclude": _search(True, None),
     "search_candidate_pool": _search(True, 100),
-    "search_multi_source": f"""WITH {MODEL},
-f AS (SELECT s.vec_id AS source, t.vec_id AS index, {FAR} AS relation_distance, {COSINE} AS cosine_distance FROM {PLANAR} t JOIN {PLANAR} s ON s.vec_id % 50 = 0 AND s.vec_id <> t.vec_id, w),
+    "search_multi_source": f"""WITH f AS (SELECT s.vec_id AS source, t.vec_id AS index, {_far("t.e", "s.e")} AS relation_distance, {_cosine("t.e", "s.e")} AS cosine_distance FROM {E} t JOIN {E} s ON s.vec_id % 20 = 0 AND s.vec_id <> t.vec_id),
 k AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY source ORDER BY cosine_distance, index) <= 40)
 SELECT source, (row_number() OVER (PARTITION BY source ORDER BY relation_distance, cosine_distance, index))::INTEGER AS rank, index, round(relation_distance, 6) AS relation_distance, round(cosine_distance, 6) AS cosine_distance
 FROM k QUALIFY row_number() OVER (PARTITION BY source ORDER BY relation_distance, cosine_distance, index) <= 5""",
@@ -130,4 +134,3 @@ p AS (SELECT g, i, sum(m * x) / greatest(sum(m), 1) AS v FROM s GROUP BY g, i)
 SELECT g, round(sum(v), 6) AS total, round(max(CASE WHEN i = 1 THEN v END), 6) AS first FROM p GROUP BY g""",
 }
 SQL["project_independent"] = SQL["project"]
-SQL["search_multi_source_20"] = SQL["search_multi_source"].replace("s.vec_id % 50 = 0", "s.vec_id % 20 = 0")

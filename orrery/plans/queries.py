@@ -19,7 +19,7 @@ from ..operators import hard_negatives, metrics, pair_benchmark
 from ..operators.compare import stable_rank, winner
 from ..operators.projection import Projection
 from ..operators.search import search, search_many
-from ..operators.statistics import cross_products, percentiles, robust_scale
+from ..operators.statistics import cross_products, percentiles, robust_scale, running_sum
 from ..sources.caches import contract_report
 from ..sources.tables import read_parquet as read
 from ..sources.tables import spread
@@ -166,19 +166,20 @@ def _hits(hits: DataFrame) -> DataFrame:
 
 
 def _search(**options):
+    """All dimensions, by a projection whose coefficients SQL can work out."""
+
     def query(spark: SparkSession, sf: str) -> DataFrame:
-        rows = planar(spark, sf)
-        return _hits(search(planar_model(spark, sf), vector_of(rows, 0), rows, k=10, **options))
+        rows = embeddings(spark, sf)
+        source = vector_of(rows, 0)
+        return _hits(search(fixed_projection(len(source)), source, rows, k=10, **options))
 
     return query
 
 
-def _search_multi(every: int):
-    def query(spark: SparkSession, sf: str) -> DataFrame:
-        rows = planar(spark, sf)
-        return _hits(search_many(planar_model(spark, sf), rows.filter(F.col("vec_id") % every == 0), rows, k=5, candidate_pool=40))
-
-    return query
+def search_multi_source(spark: SparkSession, sf: str) -> DataFrame:
+    rows = embeddings(spark, sf)
+    p = fixed_projection(rows.select(F.size("embedding")).head()[0])
+    return _hits(search_many(p, rows.filter("vec_id % 20 = 0"), rows, k=5, candidate_pool=40))
 
 
 def whole_model(spark: SparkSession, sf: str) -> Projection:
@@ -223,12 +224,18 @@ def _sides(spark: SparkSession, sf: str) -> DataFrame:
     return p.project(rows.select("vec_id", "embedding", F.get("relation", F.lit(1)).cast("long").alias("tokens"), V.scaled(F.col("relation"), median, scale).alias("true")), into="predicted").withColumnRenamed("vec_id", "index")
 
 
-def hard_pairs(sides: DataFrame) -> DataFrame:
-    """Up to four pairs of train rows per test row, ordered by their true distance from it."""
-    train = sides.filter("index % 5 < 3").select(F.row_number().over(Window.orderBy("index")).alias("n"), "index", "true").cache()
-    total = train.count()
+def _dealt(total: int):
+    na, nb = (F.col("query_index") * 7 + F.col("pair_order") * 13) % total + 1, (F.col("query_index") * 11 + F.col("pair_order") * 17 + 1) % total + 1
+    return lambda asked: asked.withColumn("na", na).withColumn("nb", nb)
+
+
+def hard_pairs(sides: DataFrame, deal=None) -> DataFrame:
+    """Up to four pairs of train rows per test row, ordered by their true distance from it; ``deal`` adds the places (na, nb)
+    of a pair's rows among the train rows."""
+    train = running_sum(sides.filter("index % 5 < 3").select("index", "true"), ["index"], F.lit(1), "n").select(F.col("n") + 1, "index", "true").toDF("n", "index", "true")
+    deal = deal or _dealt(train.count())
     asked = sides.filter("index % 5 = 4").select(F.col("index").alias("query_index"), F.col("true").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("pair_order"))
-    asked = asked.withColumn("na", (F.col("query_index") * 7 + F.col("pair_order") * 13) % total + 1).withColumn("nb", (F.col("query_index") * 11 + F.col("pair_order") * 17 + 1) % total + 1).filter("na <> nb AND (query_index % 10 <> 9 OR pair_order < 2)")
+    asked = deal(asked).filter("na <> nb AND (query_index % 10 <> 9 OR pair_order < 2)")
     both = asked.join(train.toDF("na", "a", "ta"), "na").join(train.toDF("nb", "b", "tb"), "nb")
     first = F.struct(V.chebyshev(F.col("ta"), F.col("q")), F.col("a")) <= F.struct(V.chebyshev(F.col("tb"), F.col("q")), F.col("b"))
     return both.select("query_index", "pair_order", F.when(first, F.col("a")).otherwise(F.col("b")).alias("closer_index"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("farther_index"))
@@ -372,8 +379,7 @@ QUERIES = {
     "search_topk": _search(),
     "search_exclude": _search(exclude_index=0),
     "search_candidate_pool": _search(exclude_index=0, candidate_pool=100),
-    "search_multi_source": _search_multi(50),
-    "search_multi_source_20": _search_multi(20),
+    "search_multi_source": search_multi_source,
     "coordinate_search_true": coordinate_search_true,
     "hard_negative_scores": hard_negative_scores,
     "hard_negative_decision": hard_negative_decision,

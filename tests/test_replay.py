@@ -3,7 +3,7 @@ import sqlite3
 
 import numpy as np
 import pytest
-from evidence import build
+from evidence import DIMENSIONS, PAIRS, SIZES, build
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -19,8 +19,8 @@ def test_published_decision_is_recomputed(spark, tmp_path, capsys):
     assert cli.main(["replay-hard-negatives", "--root", root, "--cache-a", a, "--cache-b", b, "--output", str(tmp_path / "out" / "r.json")], spark) == 0
     report = json.loads(capsys.readouterr().out)
     assert report == json.loads((tmp_path / "out" / "r.json").read_text())
-    assert report["hard_negative_pairs"] == 4 and report["scientific_decision"]["outcome"] == "REAL_PREMISE_FAILED"
-    assert report["embedding_reconstruction"]["train"]["rows"] == 3
+    assert report["hard_negative_pairs"] == len(PAIRS) and report["scientific_decision"]["queries_with_pairs"] == SIZES["test"]
+    assert report["embedding_reconstruction"]["train"]["rows"] == SIZES["train"]
 
 
 def test_export(spark, tmp_path, capsys):
@@ -29,7 +29,7 @@ def test_export(spark, tmp_path, capsys):
     report = json.loads(capsys.readouterr().out)
     assert report["verification"]["largest_prediction_difference"] < 1e-12 and report == json.loads((tmp_path / "p.json").read_text())
     p = Projection.load_archive(str(tmp_path / "p.npz"))
-    assert p.relation_names == replay.NAMES and p.dimensions == 2
+    assert p.relation_names == replay.NAMES and p.dimensions == DIMENSIONS
     bundle = tmp_path / replay.PROBE_BUNDLE
     changed = json.loads(bundle.read_text())
     changed["contract"]["primitives"][replay.NAMES[0]]["selected_alpha"] = 2.0
@@ -40,14 +40,14 @@ def test_export(spark, tmp_path, capsys):
 
 def tamper_blob(root):
     c = sqlite3.connect(f"{root}/b.sqlite3")
-    c.execute("UPDATE embeddings_v2 SET embedding = ? WHERE stable_key = 't1'", (np.zeros(2, np.float32).tobytes(),))
+    c.execute("UPDATE embeddings_v2 SET embedding = ? WHERE stable_key = 'train/row 1'", (np.zeros(DIMENSIONS, np.float32).tobytes(),))
     c.commit()
     c.close()
 
 
 def tamper_missing(root):
     c = sqlite3.connect(f"{root}/a.sqlite3")
-    c.execute("DELETE FROM embeddings_v2 WHERE stable_key = 'q0'")
+    c.execute("DELETE FROM embeddings_v2 WHERE stable_key = 'test/row 0'")
     c.commit()
     c.close()
 

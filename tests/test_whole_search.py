@@ -11,7 +11,7 @@ from orrery import catalog
 
 def test_every_required_source_is_searched_for(spark, sf):
     ids = {r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect()}
-    hits = catalog.QUERIES["search_multi_source_20"](spark, sf).collect()
+    hits = catalog.QUERIES["search_multi_source"](spark, sf).collect()
     assert {r.source for r in hits} == {i for i in ids if i % 20 == 0}
     assert len(hits) == 5 * len({r.source for r in hits})
 
