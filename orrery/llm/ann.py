@@ -1,12 +1,13 @@
 """Approximate nearest neighbours by an inverted multi-index.
 
-The halves of a vector are quantised separately, by centroids that are fitted on a bounded sample; a pair of centroids
-is a cell, and every vector is an entry of one. A query sums its inner products with the centroids of the halves. A
-heap walks the pairs from the largest sum down until their cells hold FIRST entries, which are reranked exactly. The
-k-th best of them bounds what else can matter: by the covariances of centroids and of residuals, entries that reach that
-score have sums about a regression value, and all cells whose sum is no more than SPREADS deviations below it are
-reranked as well. So few cells are visited where vectors cluster, and many where they don't; the rule is the same for
-every size of the table, and aims at a share of neighbours instead of a number of entries.
+The halves of a vector are quantised separately, by centroids that are fitted on a bounded sample, about the square root
+of the table's rows for each half; a pair of centroids is a cell, and every vector is an entry of one. A query sums its
+inner products with the centroids of the halves. A heap walks the pairs from the largest sum down until their cells hold
+FIRST entries, which are reranked exactly. The k-th best of them bounds what else can matter: by the covariances of
+centroids and of residuals, entries that reach that score have sums about a regression value, and the walk goes on to
+the cells whose sum is no more than SPREADS deviations below it; as all of those are reranked, it takes them row by row.
+So few cells are visited where vectors cluster, and many where they don't; the rule is the same for every size of the
+table, and aims at a share of neighbours instead of a number of entries.
 
 Entries are dealt out in shards of about SHARD_ROWS, a large cell (copies of one vector, say) in several shards. A
 shard's entries come first and its queries stream past them, so neither side is ever gathered as a whole.
@@ -20,6 +21,7 @@ read.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,13 +32,15 @@ from pyspark.sql import functions as F
 from .common import small_batches, stored, table
 
 K = 20
-#: Centroids of each half; the sample they are fitted on has at most SAMPLE_ROWS vectors.
-CENTROIDS = 64
+#: Centroids of each half at most; the sample they are fitted on has at most SAMPLE_ROWS vectors.
+MOST_CENTROIDS = 1_024
 SAMPLE_ROWS = 20_000
-FIRST = 2_000
-#: 2.0 leaves out one in 44 of normally distributed sums.
-SPREADS = 2.0
+FIRST = 1_000
+#: 1.5 leaves out one in 15 of normally distributed sums.
+SPREADS = 1.5
 SHARD_ROWS = 4_096
+#: Queries whose visits are written at a time.
+VISITORS = 64
 
 
 def _fit(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -89,13 +93,19 @@ class Index:
             if self.shards[i] > 1:
                 now, room = now + int(self.shards[i]), SHARD_ROWS
 
-    def walk(self, q: np.ndarray, least: int) -> list[int]:
-        """Cells by the sum of their centroids' inner products with q, largest first, until they hold ``least`` entries."""
-        a, b = self.c[0] @ q[: self.half], self.c[1] @ q[self.half :]
+    def halves(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Inner products of q's halves with the centroids; a cell's sum is one of each."""
+        return self.c[0] @ q[: self.half], self.c[1] @ q[self.half :]
+
+    def walk(self, q: np.ndarray, least: int) -> tuple[np.ndarray, float]:
+        """Cells by the sum of their centroids' inner products with q, largest first, until they hold ``least`` entries, and
+        the smallest sum among them; further cells of that very sum belong to them."""
+        a, b = self.halves(q)
         i_of, j_of = np.argsort(-a, kind="stable"), np.argsort(-b, kind="stable")
-        heap, found, have = [(-(a[i_of[0]] + b[j_of[0]]), 0, 0)], [], 0
-        while heap and have < least:
-            _, i, j = heapq.heappop(heap)
+        heap, found, have, last = [(-(a[i_of[0]] + b[j_of[0]]), 0, 0)], [], 0, float("-inf")
+        while heap and (have < least or -heap[0][0] >= last):
+            top, i, j = heapq.heappop(heap)
+            last = -top
             cell = int(i_of[i]) * len(b) + int(j_of[j])
             if self.count[cell]:
                 found.append(cell)
@@ -104,15 +114,30 @@ class Index:
                 heapq.heappush(heap, (-(a[i_of[i]] + b[j_of[j + 1]]), i, j + 1))
             if j == 0 and i + 1 < len(a):
                 heapq.heappush(heap, (-(a[i_of[i + 1]] + b[j_of[0]]), i + 1, 0))
-        return found
+        return np.array(found, np.int64), last
 
-    def above(self, q: np.ndarray, bound: float) -> np.ndarray:
-        """All cells with entries whose sum is likely to belong to a score of ``bound`` or more."""
+    def least(self, q: np.ndarray, bound: float) -> float:
+        """The sum that entries of a score of ``bound`` or more are likely to reach."""
         own, rest, mean = q @ self.cov @ q, q @ self.rest_cov @ q, q @ self.mean
         both = own + rest
         least = mean + own / both * (bound - mean) - SPREADS * np.sqrt(own * rest / both) if both > 0 else float("-inf")
-        sums = (self.c[0] @ q[: self.half])[:, None] + (self.c[1] @ q[self.half :])[None, :]
-        return np.flatnonzero(((sums.ravel() >= least) | ~np.isfinite(least)) & (self.count > 0))
+        return float(least) if np.isfinite(least) else float("-inf")
+
+    def beyond(self, q: np.ndarray, least: float) -> np.ndarray:
+        """All cells with entries whose sum is ``least`` or more: of each centroid of one half, in order, those of the other
+        that reach it, until none does."""
+        a, b = self.halves(q)
+        i_of, j_of = np.argsort(-a, kind="stable"), np.argsort(-b, kind="stable")
+        slack = 1e-9 * (1 + abs(least)) if np.isfinite(least) else 0.0  # differences round otherwise than the sums do
+        upto = np.searchsorted(-b[j_of], a[i_of] - least + slack, side="right")
+        rows = int(np.searchsorted(-upto, 0, side="left"))  # as sums fall, so do the numbers that reach the least
+        found = np.concatenate([i * len(b) + j_of[:n] for i, n in zip(i_of[:rows], upto, strict=False)]) if rows else np.zeros(0, np.int64)
+        return found[(self.count[found] > 0) & (a[found // len(b)] + b[found % len(b)] >= least)]
+
+    def shards_of(self, cells: np.ndarray) -> np.ndarray:
+        """The shards that hold these cells' entries."""
+        first, n = self.shard[cells], self.shards[cells]
+        return np.unique(np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum())))
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -120,9 +145,9 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
 
 
-def _rerank(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by shard, its entries first: each query's k best entries of the cells that it visits there, but
-    for those below its bound, which k others already exceed."""
+def _rerank(batches: Iterator[pa.RecordBatch], index: Index, k: int) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by shard, its entries first: each query's k best entries of the cells that it visits there, whose sums
+    are ``low`` or more and below ``high``, but for those below its bound, which k others already exceed."""
     shard, parts, entries = None, [], None
     for b in batches:
         shards, is_query = b.column("shard").to_numpy(), b.column("is_query").to_numpy(zero_copy_only=False)
@@ -137,21 +162,17 @@ def _rerank(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
             if entries is None and parts:
                 ids, cell, x = (np.concatenate(c) for c in zip(*parts, strict=True))
                 order = np.lexsort((ids, cell))
-                ids, cell, x = ids[order], cell[order], np.ascontiguousarray(x[order])
-                at = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-                entries = ids, x, {int(cell[i]): (i, j) for i, j in zip(at, np.append(at[1:], len(cell)), strict=True)}
+                entries = ids[order], np.ascontiguousarray(x[order]), *np.unique(cell[order], return_inverse=True)
             if entries is None:
                 continue
-            ids, x, span = entries
+            ids, x, cells, of = entries
             q = _vectors(part.column("vector"))
             out: list[list[np.ndarray]] = [[], [], []]
             rough = q @ x.T
-            for i, (me, cells, bound) in enumerate(zip(*[part.column(c).to_pylist() for c in ("id", "cells", "bound")], strict=True)):
-                pick = [np.arange(*span[c]) for c in cells if c in span]
-                if not pick:
-                    continue
-                pick = np.concatenate(pick)
-                pick = pick[ids[pick] != me]
+            for i, (me, low, high, bound) in enumerate(zip(*[part.column(c).to_pylist() for c in ("id", "low", "high", "bound")], strict=True)):
+                a, c = index.halves(q[i])
+                sums = a[cells // len(c)] + c[cells % len(c)]
+                pick = np.flatnonzero(((sums >= low) & (sums < high))[of] & (ids != me))
                 if len(pick) > k:  # what can't be among the k best needs no exact score
                     s = rough[i, pick]
                     pick = pick[s >= np.partition(s, -k)[-k] - 1e-9 * (1 + np.abs(s).max())]
@@ -165,7 +186,7 @@ def _rerank(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["query_id", "vec_id", "score"])
 
 
-def nearest(spark: SparkSession, rows: DataFrame, key: str = "vec_id", vector: str = "embedding", is_query: str = "vec_id % 20 = 0", k: int = K, centroids: int = CENTROIDS) -> DataFrame:
+def nearest(spark: SparkSession, rows: DataFrame, key: str = "vec_id", vector: str = "embedding", is_query: str = "vec_id % 20 = 0", k: int = K, centroids: int | None = None, first: int = FIRST) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k nearest found; ``is_query`` is SQL over ``vec_id``."""
     small_batches(spark, 1000)
     schema = "query_id long, rank int, vec_id long, score double"
@@ -178,7 +199,7 @@ def nearest(spark: SparkSession, rows: DataFrame, key: str = "vec_id", vector: s
         return spark.createDataFrame([], schema)
     rows = rows.filter(F.size("v") == size[0]["d"])
     sample = np.array([r["v"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("v").collect()])
-    index = Index(sample, centroids)
+    index = Index(sample, centroids or max(2, min(MOST_CENTROIDS, math.isqrt(size[0]["count"]))))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -195,37 +216,37 @@ def nearest(spark: SparkSession, rows: DataFrame, key: str = "vec_id", vector: s
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(index.shard[cell] + salt % index.shards[cell])], ["id", "cell", "vector", "shard"])
 
     dealt = entries.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(1 << 40))).mapInArrow(deal, "id long, cell long, vector binary, shard long")
-    dealt = dealt.selectExpr("shard", "false AS is_query", "id", "cell", "vector", "cast(null AS array<long>) AS cells", "cast(null AS double) AS bound")
+    dealt = dealt.selectExpr("shard", "false AS is_query", "id", "cell", "vector", *[f"cast(null AS double) AS {c}" for c in ("low", "high", "bound")])
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The shards where a query's cells lie: the first visit's without a bound, else those that go on from them."""
         for b in batches:
-            out: list[tuple] = []
-            for me, raw, bound in zip(*[b.column(c).to_pylist() for c in ("id", "vector", "bound")], strict=True):
-                q = np.frombuffer(raw, np.float64)
-                cells = index.walk(q, FIRST)
-                if bound is not None:
-                    cells = np.setdiff1d(index.above(q, bound), cells).tolist()
-                by: dict[int, list[int]] = {}
-                for c in cells:
-                    for s in range(index.shards[c]):
-                        by.setdefault(int(index.shard[c]) + s, []).append(c)
-                out += [(s, me, raw, own, float("-inf") if bound is None else bound) for s, own in by.items()]
-            cols = list(zip(*out, strict=True)) or [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["shard", "id", "vector", "cells", "bound"])
+            for lo in range(0, b.num_rows, VISITORS):
+                part, shards, row, limits = b.slice(lo, VISITORS), [], [], []
+                for i, (raw, bound) in enumerate(zip(*[part.column(c).to_pylist() for c in ("vector", "bound")], strict=True)):
+                    q = np.frombuffer(raw, np.float64)
+                    cells, last = index.walk(q, first)
+                    low, high = (last, float("inf")) if bound is None else (index.least(q, bound), last)
+                    own = index.shards_of(cells if bound is None else index.beyond(q, low)) if low < high else np.zeros(0, np.int64)
+                    shards.append(own)
+                    row.append(np.full(len(own), i))
+                    limits.append((low, high, float("-inf") if bound is None else bound))
+                row = np.concatenate(row)
+                columns = [pa.array(np.concatenate(shards)), *[part.column(c).take(pa.array(row)) for c in ("id", "vector")], *[pa.array(np.array(c)[row]) for c in zip(*limits, strict=True)]]
+                yield pa.RecordBatch.from_arrays(columns, ["shard", "id", "vector", "low", "high", "bound"])
 
     def search(queries: DataFrame) -> DataFrame:
-        asked = queries.mapInArrow(visit, "shard long, id long, vector binary, cells array<long>, bound double")
-        both = dealt.unionByName(asked.selectExpr("shard", "true AS is_query", "id", "cast(null AS long) AS cell", "vector", "cells", "bound"))
+        asked = queries.mapInArrow(visit, "shard long, id long, vector binary, low double, high double, bound double")
+        both = dealt.unionByName(asked.selectExpr("shard", "true AS is_query", "id", "cast(null AS long) AS cell", "vector", "low", "high", "bound"))
         both = both.repartition("shard").sortWithinPartitions("shard", "is_query")
-        return both.mapInArrow(lambda it: _rerank(it, k), "query_id long, vec_id long, score double")
+        return both.mapInArrow(lambda it: _rerank(it, index, k), "query_id long, vec_id long, score double")
 
     queries = entries.filter(F.expr(is_query.replace("vec_id", "id"))).select("id", "vector", F.lit(None).cast("double").alias("bound"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    first = stored(search(queries).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k), spark)
-    bound = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("bound"))
+    found_first = stored(search(queries).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k), spark)
+    bound = found_first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("bound"))
     more = search(queries.drop("bound").join(bound.withColumnRenamed("query_id", "id"), "id", "left").select("id", "vector", F.coalesce("bound", F.lit(float("-inf"))).alias("bound")))
-    found = first.select("query_id", "vec_id", "score").unionByName(more).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    found = found_first.select("query_id", "vec_id", "score").unionByName(more).dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
