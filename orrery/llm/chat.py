@@ -1,19 +1,21 @@
 """Chat formatting on a prefix tree of conversations.
 
 A turn is written as ``<|role|>role<|text|>text<|end|>``; in roles and texts a backslash goes into whatever looks like
-a control string (of this template or of common others), and one comes out again when the output is read. Conversations
-that share initial turns share the tree's nodes: their turns are emitted once, in depth-first order. Each conversation
-points to its turns by intervals in that stream, the ancestors' first. A turn's position ids go on from its parent's
-end, and it may attend to itself and to its ancestors' intervals alone. Units are code points.
+a control string (of this template or of common others), and one comes out again when the output is read. Written turns
+become tokens of a public vocabulary. Conversations that share initial turns share the tree's nodes: their tokens are
+emitted once, in depth-first order. With each turn go the position ids of its tokens, which go on from its parent's end,
+and the intervals of the stream that its ancestors fill, side by side ones as one: beside its own tokens up to itself,
+a token attends to those alone.
 
 Distributed: conversations become paths of node ids (16-byte hashes of all turns so far). Sorted by path they stand in
 depth-first order, and what a path doesn't share with its predecessor is what it emits. Paths are range-partitioned, a
 summary of each partition (one row) tells where the next one starts and which nodes are open there, and so no tree is
-ever gathered in one task, even if most conversations share the first turn.
+ever gathered in one task, even if most conversations share the first turn. Reading goes along the stream the same way,
+with the open turns at hand, and so doesn't look up a common turn for each path that has it.
 
 Defined cases: null roles and texts are empty; turns are ordered by turn (null first), role and text; equal
-conversations are one path; a repeated row is a turn of its own; a null id is a conversation of its own; an empty table
-gives no rows; other columns aren't read.
+conversations are one path; a repeated row is a turn of its own; rows without id are one conversation; a conversation is
+formatted as a whole, by one task; an empty table gives no rows; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, checkpointed, small_batches, table
+from . import tokens
+from .common import BATCH_ROWS, checkpointed, small_batches, stored, table
 
 ROLE, TEXT, END = "<|role|>", "<|text|>", "<|end|>"
 LOSS_ROLE = "assistant"
@@ -36,6 +39,8 @@ LOSS_ROLE = "assistant"
 _TAIL = r"(\||s>|/s>|INST\]|/INST\]|<SYS>>|</SYS>>)"
 _ESCAPE, _UNESCAPE = re.compile(rf"([<\[])(\\*){_TAIL}"), re.compile(rf"([<\[])\\(\\*){_TAIL}")
 _NODE = 16
+#: Equal conversations above which their digest is sent to them instead of being joined.
+HOT_MEMBERS = 10_000
 
 
 def escape(text: str) -> str:
@@ -64,14 +69,16 @@ def path_of(turns: list[str]) -> list[bytes]:
     return found
 
 
-def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _paths(batches: Iterator[pa.RecordBatch], ranks: str) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        paths, texts = [], []
+        paths, ids, loss = [], [], []
         for turns in b.column("turns").to_pylist():
             own = [write(t["role"], t["text"]) for t in turns]
             paths.append(b"".join(path_of(own)))
-            texts.append(own)
-        yield pa.RecordBatch.from_arrays([b.column("conv_id"), pa.array(paths, pa.binary()), pa.array(texts, pa.list_(pa.string()))], ["conv_id", "path", "turns"])
+            ids.append([tokens.ids(ranks, t) for t in own])
+            loss.append([t["role"] == LOSS_ROLE for t in turns])
+        columns = [pa.array(paths, pa.binary()), pa.array(ids, pa.list_(pa.list_(pa.int32()))), pa.array(loss, pa.list_(pa.bool_()))]
+        yield pa.RecordBatch.from_arrays([b.column("conv_id"), *columns], ["conv_id", "path", "turns", "loss"])
 
 
 def _shared(a: bytes, b: bytes) -> int:
@@ -80,27 +87,28 @@ def _shared(a: bytes, b: bytes) -> int:
     return next((i for i in range(n) if a[i * _NODE : i * _NODE + _NODE] != b[i * _NODE : i * _NODE + _NODE]), n)
 
 
-def _walk(rows: Iterator[tuple[bytes, list[str]]], last: bytes, starts: list[int], at: int) -> Iterator[tuple]:
-    """For each path its turns, how many it shares with its predecessor, its turns' starts, and where the stream ends."""
-    for path, turns in rows:
+def _walk(rows: Iterator[tuple], last: bytes, starts: list[int], at: int) -> Iterator[tuple]:
+    """For each path its turns' tokens, what else it has, how many turns it shares with its predecessor, its turns' starts,
+    and where the stream ends."""
+    for path, turns, *rest in rows:
         k = _shared(last, path)
         starts = list(starts[:k])
         for t in turns[k:]:
             starts.append(at)
             at += len(t)
         last = path
-        yield path, turns, k, starts, at
+        yield path, turns, rest, k, starts, at
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, list[str]]]:
+def _rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
     for b in batches:
-        yield from zip(b.column("path").to_pylist(), b.column("turns").to_pylist(), strict=True)
+        yield from zip(*[b.column(c).to_pylist() for c in names], strict=True)
 
 
 def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a partition, as if nothing came before it: first path, its turns' lengths, last path, its starts, the end."""
     first = None
-    for path, turns, _, starts, at in _walk(_rows(batches), b"", [], 0):
+    for path, turns, _, _, starts, at in _walk(_rows(batches, "path", "turns"), b"", [], 0):
         if first is None:
             first = path, [len(t) for t in turns]
         last = path, starts, at
@@ -111,77 +119,124 @@ def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], ["part", "first", "lengths", "last", "starts", "end"])
 
 
-SCHEMA = "path binary, loss array<boolean>, starts array<long>, lengths array<long>, positions array<long>, shared int, emitted array<string>"
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Intervals in order, side by side ones as one."""
+    out: list[tuple[int, int]] = []
+    for a, z in spans:
+        out.append((out.pop()[0], z) if out and out[-1][1] == a else (a, z))
+    return out
 
 
-def format_conversations(spark: SparkSession, rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(paths, members). A path has, for each of its turns, where it starts in the stream (``starts``), its length, its
-    first position id and whether it is under the loss mask. ``emitted`` holds the turns that follow its first ``shared``
-    ones, which earlier paths have emitted: laid end to end in the order of ``starts`` they are the stream, and the
-    intervals of a turn's ancestors are what it attends to. members: conv_id, path."""
+SPAN = "struct<start: long, end: long>"
+TURN = f"struct<start: long, tokens: array<int>, position_ids: array<int>, attends: array<{SPAN}>>"
+SCHEMA = f"part int, lead boolean, path binary, members long, loss array<boolean>, starts array<long>, lengths array<int>, shared int, emitted array<{TURN}>"
+_SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+_TURN = pa.struct([("start", pa.int64()), ("tokens", pa.list_(pa.int32())), ("position_ids", pa.list_(pa.int32())), ("attends", pa.list_(_SPAN))])
+_KINDS = (pa.int32(), pa.bool_(), pa.binary(), pa.int64(), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32(), pa.list_(_TURN))
+
+
+def format_conversations(spark: SparkSession, rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", ranks: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(paths, members). A path has, for each of its turns, where it starts in the stream (``starts``), its length in tokens
+    and whether it is under the loss mask. ``emitted`` holds the turns that follow its first ``shared`` ones, which earlier
+    paths have emitted, with their tokens, position ids and ancestors' intervals: laid end to end in the order of their
+    starts they are the stream. ``part`` and ``lead`` (a part's first path) tell the reader where it begins. members:
+    conv_id, path. ``ranks``: vocabulary file."""
     small_batches(spark)
+    ranks = ranks or tokens.ranks_path()
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     turns = rows.select(F.col(conv).cast("long").alias("conv_id"), F.struct(F.col(turn).cast("long").alias("turn"), blank(role).alias("role"), blank(text).alias("text")).alias("t"))
-    whole = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns")).mapInArrow(_paths, "conv_id long, path binary, turns array<string>")
-    whole = checkpointed(whole, spark)
+    whole = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    whole = checkpointed(whole.mapInArrow(lambda it: _paths(it, ranks), "conv_id long, path binary, turns array<array<int>>, loss array<boolean>"), spark)
     members = whole.select("conv_id", "path")
     # equal conversations have equal turns, so any of them will do: the first is taken before rows are dealt out
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    once = whole.groupBy("path").agg(F.first("turns").alias("turns"))
+    once = whole.groupBy("path").agg(F.first("turns").alias("turns"), F.first("loss").alias("loss"), F.count("*").alias("members"))
     ordered = checkpointed(once.repartitionByRange(n, "path").sortWithinPartitions("path"), spark)
 
-    opened: dict[int, tuple[bytes, list[int], int]] = {}  # partition: the path before it, its turns' starts, the offset
+    opened: dict[int, tuple[bytes, list[int], int]] = {}  # partition: what its first path shares, those turns' starts, the offset
     last, starts, at = b"", [], 0
     summary = ordered.mapInArrow(_summary, "part int, first binary, lengths array<long>, last binary, starts array<long>, end long")
     for s in sorted(summary.collect(), key=lambda s: s["part"]):
-        opened[s["part"]] = last, starts, at
-        k = _shared(last, bytes(s["first"]))
+        first = bytes(s["first"])
+        k = _shared(last, first)
+        opened[s["part"]] = first[: k * _NODE], starts[:k], at
         saved = sum(s["lengths"][:k])  # the first path's turns that were emitted before
-        kept = min(k, _shared(bytes(s["first"]), bytes(s["last"])))
+        kept = min(k, _shared(first, bytes(s["last"])))
         last, starts = bytes(s["last"]), starts[:kept] + [at + x - saved for x in s["starts"][kept:]]
         at += s["end"] - saved
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = opened.get(TaskContext.get().partitionId(), (b"", [], 0))
-        ints = pa.list_(pa.int64())
-        kinds = [pa.binary(), pa.list_(pa.bool_()), ints, ints, ints, pa.int32(), pa.list_(pa.string())]
-        walk = _walk(_rows(batches), *before)
-        while rows := list(itertools.islice(walk, BATCH_ROWS)):
+        part = TaskContext.get().partitionId()
+        walk = _walk(_rows(batches, "path", "turns", "loss", "members"), *opened.get(part, (b"", [], 0)))
+        lead = True
+        while found := list(itertools.islice(walk, BATCH_ROWS)):
             out: list[tuple] = []
-            for path, own, k, starts, _ in rows:
+            for path, own, (loss, n), k, starts, _ in found:
                 lengths = [len(t) for t in own]
-                positions = [0, *itertools.accumulate(lengths[:-1])]
-                out.append((path, [read(t)[0] == LOSS_ROLE for t in own], starts, lengths, positions, k, own[k:]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["path", "loss", "starts", "lengths", "positions", "shared", "emitted"])
+                begins = [0, *itertools.accumulate(lengths)]
+                spans = [(s, s + n) for s, n in zip(starts, lengths, strict=True)]
+                emitted, before = [], _joined(spans[:k])
+                for i in range(k, len(own)):
+                    emitted.append({"start": starts[i], "tokens": own[i], "position_ids": range(begins[i], begins[i + 1]), "attends": [{"start": a, "end": z} for a, z in before]})
+                    before = _joined([*before, spans[i]])
+                out.append((part, lead, path, n, loss, starts, lengths, k, emitted))
+                lead = False
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), _KINDS, strict=True)], ["part", "lead", "path", "members", "loss", "starts", "lengths", "shared", "emitted"])
 
     return checkpointed(ordered.mapInArrow(emit, SCHEMA), spark), members
 
 
-def read_back(spark: SparkSession, paths: DataFrame) -> DataFrame:
-    """(path, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), from the emitted stream: each path's
-    intervals are looked up in it, parsed and unescaped."""
-    emitted = paths.select(F.posexplode("emitted").alias("i", "turn"), "shared", "starts").select(F.get("starts", F.col("i") + F.col("shared")).alias("start"), "turn")
-    asked = paths.select("path", F.posexplode(F.arrays_zip("starts", "loss")).alias("i", "x")).select("path", "i", F.col("x.starts").alias("start"), F.col("x.loss").alias("loss"))
-    whole = asked.join(emitted, "start").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("i", "turn", "loss"))).alias("turns"))
+def read_back(spark: SparkSession, paths: DataFrame, ranks: str | None = None) -> DataFrame:
+    """(path, members, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), from the emitted stream: it is read
+    along, part by part, and each path's turns are those that its last turn attends to, and that turn itself."""
+    ranks = ranks or tokens.ranks_path()
+    emitted = paths.select(F.explode("emitted").alias("t")).select(F.col("t.start").alias("start"), F.col("t.tokens").alias("tokens"))
+    open_ = paths.filter("lead").select("part", F.explode(F.slice("starts", F.lit(1), F.col("shared"))).alias("start")).join(emitted, "start")
+    open_ = open_.selectExpr("part", "cast(null AS binary) AS path", "start", "tokens")
+    names = ("part", "path", "start", "tokens", "members", "loss", "starts", "shared", "emitted")
+    both = open_.unionByName(paths.select("part", "path", "members", "loss", "starts", "shared", "emitted"), allowMissingColumns=True)
+    both = both.select(*names).repartition("part").sortWithinPartitions("part", F.asc_nulls_first("path"))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text_of = lambda ids: tokens.encoder(ranks).decode_bytes(ids).decode()
+        here, before, stack = None, {}, []
+        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         for b in batches:
             out: list[tuple] = []
-            for path, turns in zip(b.column("path").to_pylist(), b.column("turns").to_pylist(), strict=True):
-                all_, loss, chars, formatted = hashlib.sha256(), hashlib.sha256(), 0, 0
-                for t in turns:
-                    role, text = read(t["turn"])
+            for part, path, start, ids, n, loss, starts, shared, emitted in _rows(iter([b]), *names):
+                if part != here:
+                    here, before, stack = part, {}, None
+                if path is None:
+                    before[start] = text_of(ids)
+                    continue
+                stack = [(s, before[s]) for s in starts[:shared]] if stack is None else stack[:shared]
+                stack += [(t["start"], text_of(t["tokens"])) for t in emitted]
+                leaf = emitted[-1]
+                seen = [any(a["start"] <= s < a["end"] for a in leaf["attends"]) or s == leaf["start"] for s, _ in stack]
+                all_, masked, chars, formatted = hashlib.sha256(), hashlib.sha256(), 0, 0
+                for (_, turn), under in zip(itertools.compress(stack, seen), itertools.compress(loss, seen), strict=True):
+                    role, text = read(turn)
                     all_.update(f"{role}\n{text}\n".encode())
-                    formatted += len(t["turn"])
-                    if t["loss"]:
-                        loss.update(text.encode())
+                    formatted += len(turn)
+                    if under:
+                        masked.update(text.encode())
                         chars += len(text)
-                out.append((path, len(turns), all_.hexdigest(), chars, loss.hexdigest(), formatted))
-            cols = list(zip(*out, strict=True)) or [()] * 6
-            kinds = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["path", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+                out.append((path, n, sum(seen), all_.hexdigest(), chars, masked.hexdigest(), formatted))
+            cols = list(zip(*out, strict=True)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["path", "members", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+
+    return both.mapInArrow(digest, "path binary, members long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
 
-    return whole.mapInArrow(digest, "path binary, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+def of_members(spark: SparkSession, members: DataFrame, found: DataFrame, most: int = HOT_MEMBERS) -> DataFrame:
+    """What was found for each path, for each of its members. Paths of over ``most`` members are sent to them: n
+    conversations have at most n / most of those."""
+    found = stored(found, spark)
+    hot = found.filter(F.col("members") > most)
+    if not hot.limit(1).count():
+        return members.join(found, "path").drop("path", "members")
+    rest = members.join(F.broadcast(hot.select("path")), "path", "left_anti").join(found.filter(F.col("members") <= most), "path")
+    return rest.unionByName(members.join(F.broadcast(hot), "path")).drop("path", "members")
 
 
 def op3_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,7 +244,7 @@ def op3_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string"))
     paths, members = format_conversations(spark, rows)
-    return members.join(read_back(spark, paths), "path").drop("path")
+    return of_members(spark, members, read_back(spark, paths))
 
 
 SQL_OP3 = r"""

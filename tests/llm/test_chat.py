@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import test_packing as packed
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -33,27 +34,39 @@ def brute(rows):
 COLUMNS = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
 
-def run(spark, rows):
+def run(spark, rows, most=chat.HOT_MEMBERS):
     df = spark.createDataFrame([(*r, 1, "p") for r in rows], "conv_id long, turn long, role string, text string, start int, path string")
     paths, members = chat.format_conversations(spark, df)
-    found = members.join(chat.read_back(spark, paths), "path").select(COLUMNS).collect()
+    found = chat.of_members(spark, members, chat.read_back(spark, paths), most).select(COLUMNS).collect()
     return sorted((tuple(r) for r in found), key=str), paths.collect()
 
 
 def check_tree(paths):
-    """The stream is gapless, each node stands in it once, and positions follow the ancestors."""
-    nodes = {}
+    """The stream is gapless, each node stands in it once, positions follow the ancestors, and the merged intervals that a
+    turn attends to hold its ancestors' tokens and no others."""
+    nodes, stream = {}, {}
     for p in paths:
         ids = [bytes(p.path)[: 16 * (i + 1)] for i in range(len(p.starts))]
         for i, (node, start, length) in enumerate(zip(ids, p.starts, p.lengths)):
             assert nodes.setdefault(node, (start, length)) == (start, length)
-            assert p.positions[i] == sum(p.lengths[:i]) and (not i or start >= p.starts[i - 1] + p.lengths[i - 1])
-        assert [len(t) for t in p.emitted] == list(p.lengths[p.shared :])
-    at = 0
-    for start, length in sorted(nodes.values()):
-        assert start == at
-        at += length
-    assert sum(len(t) for p in paths for t in p.emitted) == at
+            assert not i or start >= p.starts[i - 1] + p.lengths[i - 1]
+        for i, t in enumerate(p.emitted, p.shared):
+            assert t.start == p.starts[i] and len(t.tokens) == p.lengths[i]
+            begin = sum(p.lengths[:i])
+            assert list(t.position_ids) == list(range(begin, begin + len(t.tokens)))
+            spans = [(a.start, a.end) for a in t.attends]
+            assert all(x[1] < y[0] for x, y in zip(spans[:-1], spans[1:]))
+            own = [x for s, n in zip(p.starts[:i], p.lengths[:i]) for x in range(s, s + n)]
+            assert [x for a, z in spans for x in range(a, z)] == own
+            assert not set(range(t.start, t.start + len(t.tokens))) & set(stream)
+            stream.update(zip(range(t.start, t.start + len(t.tokens)), t.tokens))
+    assert sorted(stream) == list(range(len(stream))) == list(range(sum(n for _, n in nodes.values())))
+    tokenizer = packed.tokenizer()
+    for p in paths:  # every conversation can be read by attention alone, and its tokens are those of the vocabulary
+        leaf = p.emitted[-1] if p.emitted else None
+        text = tokenizer.decode([stream[x] for a in leaf.attends for x in range(a.start, a.end)] + list(leaf.tokens), skip_special_tokens=False)
+        turns = [chat.read(t + chat.END) for t in text.split(chat.END)[:-1]]
+        assert len(turns) == len(p.starts) and [r == "assistant" for r, _ in turns] == list(p.loss)
 
 
 def test_shared_turns(spark):
@@ -64,6 +77,7 @@ def test_shared_turns(spark):
     got, paths = run(spark, rows)
     assert got == brute(rows) and len(paths) < 150
     check_tree(paths)
+    assert run(spark, rows, most=2)[0] == got
 
 
 def test_query(spark, sf):
