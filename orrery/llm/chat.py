@@ -25,6 +25,7 @@ import itertools
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +42,8 @@ _ESCAPE, _UNESCAPE = re.compile(rf"([<\[])(\\*){_TAIL}"), re.compile(rf"([<\[])\
 _NODE = 16
 #: Equal conversations above which their digest is sent to them instead of being joined.
 HOT_MEMBERS = 10_000
+#: Places of turns that are open where parts begin which are sent to the tasks; more are joined.
+SENT_TURNS = 100_000
 
 
 def escape(text: str) -> str:
@@ -75,9 +78,9 @@ def _paths(batches: Iterator[pa.RecordBatch], ranks: str) -> Iterator[pa.RecordB
         for turns in b.column("turns").to_pylist():
             own = [write(t["role"], t["text"]) for t in turns]
             paths.append(b"".join(path_of(own)))
-            ids.append([tokens.ids(ranks, t) for t in own])
+            ids.append([tokens.ids(ranks, t).astype("<u4").tobytes() for t in own])
             loss.append([t["role"] == LOSS_ROLE for t in turns])
-        columns = [pa.array(paths, pa.binary()), pa.array(ids, pa.list_(pa.list_(pa.int32()))), pa.array(loss, pa.list_(pa.bool_()))]
+        columns = [pa.array(paths, pa.binary()), pa.array(ids, pa.list_(pa.binary())), pa.array(loss, pa.list_(pa.bool_()))]
         yield pa.RecordBatch.from_arrays([b.column("conv_id"), *columns], ["conv_id", "path", "turns", "loss"])
 
 
@@ -88,14 +91,14 @@ def _shared(a: bytes, b: bytes) -> int:
 
 
 def _walk(rows: Iterator[tuple], last: bytes, starts: list[int], at: int) -> Iterator[tuple]:
-    """For each path its turns' tokens, what else it has, how many turns it shares with its predecessor, its turns' starts,
+    """For each path its turns' tokens (four bytes each), what else it has, how many turns it shares with its predecessor, its turns' starts,
     and where the stream ends."""
     for path, turns, *rest in rows:
         k = _shared(last, path)
         starts = list(starts[:k])
         for t in turns[k:]:
             starts.append(at)
-            at += len(t)
+            at += len(t) // 4
         last = path
         yield path, turns, rest, k, starts, at
 
@@ -110,7 +113,7 @@ def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     first = None
     for path, turns, _, _, starts, at in _walk(_rows(batches, "path", "turns"), b"", [], 0):
         if first is None:
-            first = path, [len(t) for t in turns]
+            first = path, [len(t) // 4 for t in turns]
         last = path, starts, at
     if first is not None:
         ints = pa.list_(pa.int64())
@@ -129,10 +132,22 @@ def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 SPAN = "struct<start: long, end: long>"
 TURN = f"struct<start: long, tokens: array<int>, position_ids: array<int>, attends: array<{SPAN}>>"
+_KINDS = (pa.int32(), pa.bool_(), pa.binary(), pa.int64(), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32())
 SCHEMA = f"part int, lead boolean, path binary, members long, loss array<boolean>, starts array<long>, lengths array<int>, shared int, emitted array<{TURN}>"
-_SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-_TURN = pa.struct([("start", pa.int64()), ("tokens", pa.list_(pa.int32())), ("position_ids", pa.list_(pa.int32())), ("attends", pa.list_(_SPAN))])
-_KINDS = (pa.int32(), pa.bool_(), pa.binary(), pa.int64(), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32(), pa.list_(_TURN))
+
+def _lists(sizes: list[int], values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
+
+
+def _turns(starts: list[int], ids: list[bytes], begins: list[int], attends: list[list[tuple[int, int]]]) -> pa.StructArray:
+    """Emitted turns: their places in the stream, tokens, first positions and ancestors' intervals."""
+    values = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
+    sizes = np.array([len(t) // 4 for t in ids], np.int64)
+    positions = np.arange(len(values)) + np.repeat(np.array(begins, np.int64) - np.cumsum(sizes) + sizes, sizes)
+    spans = np.array([x for own in attends for x in own], np.int64).reshape(-1, 2)
+    spans = pa.StructArray.from_arrays([pa.array(spans[:, 0]), pa.array(spans[:, 1])], ["start", "end"])
+    columns = [pa.array(starts, pa.int64()), _lists(sizes, pa.array(values)), _lists(sizes, pa.array(positions, pa.int32())), _lists([len(own) for own in attends], spans)]
+    return pa.StructArray.from_arrays(columns, ["start", "tokens", "position_ids", "attends"])
 
 
 def format_conversations(spark: SparkSession, rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", ranks: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -146,7 +161,7 @@ def format_conversations(spark: SparkSession, rows: DataFrame, conv: str = "conv
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     turns = rows.select(F.col(conv).cast("long").alias("conv_id"), F.struct(F.col(turn).cast("long").alias("turn"), blank(role).alias("role"), blank(text).alias("text")).alias("t"))
     whole = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    whole = checkpointed(whole.mapInArrow(lambda it: _paths(it, ranks), "conv_id long, path binary, turns array<array<int>>, loss array<boolean>"), spark)
+    whole = stored(whole.mapInArrow(lambda it: _paths(it, ranks), "conv_id long, path binary, turns array<binary>, loss array<boolean>"), spark)
     members = whole.select("conv_id", "path")
     # equal conversations have equal turns, so any of them will do: the first is taken before rows are dealt out
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -171,48 +186,60 @@ def format_conversations(spark: SparkSession, rows: DataFrame, conv: str = "conv
         lead = True
         while found := list(itertools.islice(walk, BATCH_ROWS)):
             out: list[tuple] = []
-            for path, own, (loss, n), k, starts, _ in found:
-                lengths = [len(t) for t in own]
-                begins = [0, *itertools.accumulate(lengths)]
+            new: tuple[list, list, list, list] = ([], [], [], [])
+            for path, own, (loss, members), k, starts, _ in found:
+                lengths = [len(t) // 4 for t in own]
+                begins = list(itertools.accumulate(lengths, initial=0))
                 spans = [(s, s + n) for s, n in zip(starts, lengths, strict=True)]
-                emitted, before = [], _joined(spans[:k])
+                before = _joined(spans[:k])
                 for i in range(k, len(own)):
-                    emitted.append({"start": starts[i], "tokens": own[i], "position_ids": range(begins[i], begins[i + 1]), "attends": [{"start": a, "end": z} for a, z in before]})
+                    for to, v in zip(new, (starts[i], own[i], begins[i], before), strict=True):
+                        to.append(v)
                     before = _joined([*before, spans[i]])
-                out.append((part, lead, path, n, loss, starts, lengths, k, emitted))
+                out.append((part, lead, path, members, loss, starts, lengths, k))
                 lead = False
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), _KINDS, strict=True)], ["part", "lead", "path", "members", "loss", "starts", "lengths", "shared", "emitted"])
+            columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), _KINDS, strict=True)]
+            emitted = _lists([len(r[6]) - r[7] for r in out], _turns(*new))
+            yield pa.RecordBatch.from_arrays([*columns, emitted], ["part", "lead", "path", "members", "loss", "starts", "lengths", "shared", "emitted"])
 
-    return checkpointed(ordered.mapInArrow(emit, SCHEMA), spark), members
+    return stored(ordered.mapInArrow(emit, SCHEMA), spark), members
 
 
 def read_back(spark: SparkSession, paths: DataFrame, ranks: str | None = None) -> DataFrame:
     """(path, members, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), from the emitted stream: it is read
     along, part by part, and each path's turns are those that its last turn attends to, and that turn itself."""
     ranks = ranks or tokens.ranks_path()
-    emitted = paths.select(F.explode("emitted").alias("t")).select(F.col("t.start").alias("start"), F.col("t.tokens").alias("tokens"))
-    open_ = paths.filter("lead").select("part", F.explode(F.slice("starts", F.lit(1), F.col("shared"))).alias("start")).join(emitted, "start")
-    open_ = open_.selectExpr("part", "cast(null AS binary) AS path", "start", "tokens")
-    names = ("part", "path", "start", "tokens", "members", "loss", "starts", "shared", "emitted")
-    both = open_.unionByName(paths.select("part", "path", "members", "loss", "starts", "shared", "emitted"), allowMissingColumns=True)
-    both = both.select(*names).repartition("part").sortWithinPartitions("part", F.asc_nulls_first("path"))
+    open_ = paths.filter("lead").select("part", F.explode(F.slice("starts", F.lit(1), F.col("shared"))).alias("start"))
+    few = open_.limit(SENT_TURNS + 1).count() <= SENT_TURNS  # some for each part, as a rule
+    emitted = paths.select(F.explode("emitted").alias("t")).select(F.col("t.start").alias("start"), F.array("t.tokens").alias("ids"))
+    open_ = emitted.join(F.broadcast(open_) if few else open_, "start").select("part", F.array("start").alias("at"), "ids")
+    each = lambda name: F.transform("emitted", lambda t: t[name])
+    leaf = F.element_at("emitted", -1)["attends"]
+    along = paths.select("part", "path", "members", "loss", "starts", "shared", each("start").alias("at"), each("tokens").alias("ids"), leaf["start"].alias("lows"), leaf["end"].alias("highs"))
+    names = ("path", "members", "loss", "starts", "shared", "at", "lows", "highs")
+    both = open_.unionByName(along, allowMissingColumns=True).repartition("part").sortWithinPartitions("part", F.asc_nulls_first("path"))
+
+    def texts(ids: pa.ListArray) -> Iterator[list[str]]:
+        """Of each row, the texts of its turns."""
+        encoder, rows, turns = tokens.encoder(ranks), ids.offsets.to_numpy(), ids.values
+        ends, values = turns.offsets.to_numpy(), turns.values.to_numpy()
+        for a, z in zip(rows[:-1], rows[1:], strict=True):
+            yield [encoder.decode_bytes(values[ends[i] : ends[i + 1]].tolist()).decode() for i in range(a, z)]
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text_of = lambda ids: tokens.encoder(ranks).decode_bytes(ids).decode()
-        here, before, stack = None, {}, []
+        here, before, stack = None, {}, None
         kinds = [pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         for b in batches:
             out: list[tuple] = []
-            for part, path, start, ids, n, loss, starts, shared, emitted in _rows(iter([b]), *names):
+            for part, own, (path, members, loss, starts, shared, at, lows, highs) in zip(b.column("part").to_pylist(), texts(b.column("ids")), _rows(iter([b]), *names), strict=True):
                 if part != here:
                     here, before, stack = part, {}, None
                 if path is None:
-                    before[start] = text_of(ids)
+                    before[at[0]] = own[0]
                     continue
                 stack = [(s, before[s]) for s in starts[:shared]] if stack is None else stack[:shared]
-                stack += [(t["start"], text_of(t["tokens"])) for t in emitted]
-                leaf = emitted[-1]
-                seen = [any(a["start"] <= s < a["end"] for a in leaf["attends"]) or s == leaf["start"] for s, _ in stack]
+                stack += zip(at, own, strict=True)
+                seen = [s == at[-1] or any(a <= s < z for a, z in zip(lows, highs, strict=True)) for s, _ in stack]
                 all_, masked, chars, formatted = hashlib.sha256(), hashlib.sha256(), 0, 0
                 for (_, turn), under in zip(itertools.compress(stack, seen), itertools.compress(loss, seen), strict=True):
                     role, text = read(turn)
@@ -221,7 +248,7 @@ def read_back(spark: SparkSession, paths: DataFrame, ranks: str | None = None) -
                     if under:
                         masked.update(text.encode())
                         chars += len(text)
-                out.append((path, n, sum(seen), all_.hexdigest(), chars, masked.hexdigest(), formatted))
+                out.append((path, members, sum(seen), all_.hexdigest(), chars, masked.hexdigest(), formatted))
             cols = list(zip(*out, strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["path", "members", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
