@@ -40,6 +40,8 @@ LOSS_ROLE = "assistant"
 _TAIL = r"(\||s>|/s>|INST\]|/INST\]|<SYS>>|</SYS>>)"
 _ESCAPE, _UNESCAPE = re.compile(rf"([<\[])(\\*){_TAIL}"), re.compile(rf"([<\[])\\(\\*){_TAIL}")
 _NODE = 16
+#: Token ids between stages; vocabularies of over 65,536 tokens are refused.
+_ID = np.dtype("<u2")
 #: Equal conversations above which their digest is sent to them instead of being joined.
 HOT_MEMBERS = 10_000
 #: Places of turns that are open where parts begin which are sent to the tasks; more are joined.
@@ -78,7 +80,7 @@ def _paths(batches: Iterator[pa.RecordBatch], ranks: str) -> Iterator[pa.RecordB
         for turns in b.column("turns").to_pylist():
             own = [write(t["role"], t["text"]) for t in turns]
             paths.append(b"".join(path_of(own)))
-            ids.append([tokens.ids(ranks, t).astype("<u4").tobytes() for t in own])
+            ids.append([tokens.ids(ranks, t).astype(_ID).tobytes() for t in own])
             loss.append([t["role"] == LOSS_ROLE for t in turns])
         columns = [pa.array(paths, pa.binary()), pa.array(ids, pa.list_(pa.binary())), pa.array(loss, pa.list_(pa.bool_()))]
         yield pa.RecordBatch.from_arrays([b.column("conv_id"), *columns], ["conv_id", "path", "turns", "loss"])
@@ -91,14 +93,14 @@ def _shared(a: bytes, b: bytes) -> int:
 
 
 def _walk(rows: Iterator[tuple], last: bytes, starts: list[int], at: int) -> Iterator[tuple]:
-    """For each path its turns' tokens (four bytes each), what else it has, how many turns it shares with its predecessor, its turns' starts,
+    """For each path its turns' tokens (as bytes), what else it has, how many turns it shares with its predecessor, its turns' starts,
     and where the stream ends."""
     for path, turns, *rest in rows:
         k = _shared(last, path)
         starts = list(starts[:k])
         for t in turns[k:]:
             starts.append(at)
-            at += len(t) // 4
+            at += len(t) // _ID.itemsize
         last = path
         yield path, turns, rest, k, starts, at
 
@@ -113,7 +115,7 @@ def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     first = None
     for path, turns, _, _, starts, at in _walk(_rows(batches, "path", "turns"), b"", [], 0):
         if first is None:
-            first = path, [len(t) // 4 for t in turns]
+            first = path, [len(t) // _ID.itemsize for t in turns]
         last = path, starts, at
     if first is not None:
         ints = pa.list_(pa.int64())
@@ -141,8 +143,8 @@ def _lists(sizes: list[int], values: pa.Array) -> pa.ListArray:
 
 def _turns(starts: list[int], ids: list[bytes], begins: list[int], attends: list[list[tuple[int, int]]]) -> pa.StructArray:
     """Emitted turns: their places in the stream, tokens, first positions and ancestors' intervals."""
-    values = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
-    sizes = np.array([len(t) // 4 for t in ids], np.int64)
+    values = np.frombuffer(b"".join(ids), _ID).astype(np.int32)
+    sizes = np.array([len(t) // _ID.itemsize for t in ids], np.int64)
     positions = np.arange(len(values)) + np.repeat(np.array(begins, np.int64) - np.cumsum(sizes) + sizes, sizes)
     spans = np.array([x for own in attends for x in own], np.int64).reshape(-1, 2)
     spans = pa.StructArray.from_arrays([pa.array(spans[:, 0]), pa.array(spans[:, 1])], ["start", "end"])
@@ -158,6 +160,8 @@ def format_conversations(spark: SparkSession, rows: DataFrame, conv: str = "conv
     conv_id, path. ``ranks``: vocabulary file."""
     small_batches(spark)
     ranks = ranks or tokens.ranks_path()
+    if tokens.encoder(ranks).n_vocab > 1 << 8 * _ID.itemsize:
+        raise ValueError("ids of this vocabulary don't fit two bytes")
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     turns = rows.select(F.col(conv).cast("long").alias("conv_id"), F.struct(F.col(turn).cast("long").alias("turn"), blank(role).alias("role"), blank(text).alias("text")).alias("t"))
     whole = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
@@ -188,7 +192,7 @@ def format_conversations(spark: SparkSession, rows: DataFrame, conv: str = "conv
             out: list[tuple] = []
             new: tuple[list, list, list, list] = ([], [], [], [])
             for path, own, (loss, members), k, starts, _ in found:
-                lengths = [len(t) // 4 for t in own]
+                lengths = [len(t) // _ID.itemsize for t in own]
                 begins = list(itertools.accumulate(lengths, initial=0))
                 spans = [(s, s + n) for s, n in zip(starts, lengths, strict=True)]
                 before = _joined(spans[:k])
