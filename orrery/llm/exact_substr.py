@@ -154,7 +154,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 cs[x] = hs[x] and c[x] == other[2] and windows[x] > 0 and other[3] > 0
         keep = (hb | ha | (times > 1) | (salt > 0)) & (windows > 0)
         out = pa.RecordBatch.from_arrays([*b.columns, pa.array(~cb), pa.array(cb | ca | (times > 1))], [*b.schema.names, "first", "many"])
-        return out.filter(pa.array(keep)).drop_columns(["salt"])
+        return out.filter(pa.array(keep))
 
     before = None
     for b in batches:
@@ -254,7 +254,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, anchor_bytes: int = ANC
     least, shard_bytes = LOCAL_SHARED, SHARD_BYTES
     found = docs.mapInArrow(lambda it: _salted(_pieces(it), least), "doc_id long, th long, h long, c long, start long, windows long, times long, salt int")
     found = found.repartition("h", "salt").sortWithinPartitions("h", "salt", "c", "doc_id", "start")
-    found = stored(found.mapInArrow(_repeated, "doc_id long, th long, h long, c long, start long, windows long, times long, first boolean, many boolean"), spark)
+    found = stored(found.mapInArrow(_repeated, "doc_id long, th long, h long, c long, start long, windows long, times long, salt int, first boolean, many boolean"), spark)
 
     classes = found.filter("first")
     anchors = classes.groupBy("h").agg((F.min("c") == F.max("c")).alias("alone"), (F.sum(F.col("windows") + LENGTH) > anchor_bytes).alias("large"))
@@ -273,8 +273,9 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, anchor_bytes: int = ANC
         seen = prints.groupBy("h", "print").agg(F.count("*").alias("n"))
         hit = prints.join(seen, ["h", "print"]).filter("many or n > 1").groupBy("h", "c").agg(F.flatten(F.collect_list(F.array(F.col("i"), F.col("i") + 1))).alias("spans"))
         spans = spans.unionByName(hit)
-    # a class that came under several salts has several rows, which are equal: all its windows are repeated
-    spans = spans.groupBy("h", "c").agg(F.first("spans").alias("spans"))
+    # a class that came under several salts has several rows, which are equal: all its windows are repeated. Its members
+    # find them under their own salts
+    spans = spans.groupBy("h", "c").agg(F.first("spans").alias("spans")).join(classes.select("h", "c", "salt"), ["h", "c"])
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -289,7 +290,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, anchor_bytes: int = ANC
                     z.append(start + hi - 1 + LENGTH)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc, th, a, z)], ["doc_id", "th", "a", "z"])
 
-    at = found.join(spans, ["h", "c"]).mapInArrow(places, "doc_id long, th long, a long, z long")
+    at = found.join(spans, ["h", "c", "salt"]).mapInArrow(places, "doc_id long, th long, a long, z long")
     return at.groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
 
 
