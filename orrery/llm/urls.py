@@ -3,7 +3,9 @@
 The longest rule that fits a url decides. Other urls are judged by their host: hosts most of whose pages the rules
 allow are trusted seeds, hosts (nearly) all of whose pages they block are distrusted seeds. Trust spreads along links
 by personalised PageRank, distrust against them (who links to bad hosts is bad). In units of a lone seed's own score, a
-host is blocked if its distrust reaches THRESHOLD and exceeds its trust.
+host is blocked if its distrust reaches THRESHOLD and exceeds its trust. Scores are the solution of s = own + DAMPING *
+(what neighbours pass on in equal shares): they aren't scaled to a distribution, as seeds count by themselves and not by
+their share of all seeds, and a host without links keeps what it has.
 
 Ranks live in tables of hosts, links in a table of distinct host pairs; every round is joins and map-side-combined
 sums, written to the shared folder. Without links between hosts there is nothing to spread and seeds keep their score.

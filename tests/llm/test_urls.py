@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from orrery.llm import urls
@@ -86,3 +87,24 @@ def test_scores_reach_hosts_many_links_away(spark):
     seeds = spark.createDataFrame([("h0", 1, 0), ("h25", 0, 1)], "host string, trusted int, blocked int")
     found = {r.host: r for r in urls.propagate(spark, links, seeds).collect()}
     assert all(abs(found[f"h{i}"].trust - 0.85**i) < 1e-5 and abs(found[f"h{i}"].distrust - 0.85 ** (25 - i)) < 1e-5 for i in range(26))
+
+
+def test_scores_solve_the_linear_system(spark):
+    """Cycles, hubs and hosts without links out, against the solved equations."""
+    rng = np.random.default_rng(3)
+    hosts = [f"h{i}.org" for i in range(30)]
+    links = {(int(a), int(b)) for a, b in zip(rng.integers(0, 24, 60), rng.integers(0, 30, 60)) if a != b} | {(0, 1), (1, 0)} | {(i, 5) for i in range(24) if i != 5}
+    trusted, blocked = rng.random(30) < 0.2, rng.random(30) < 0.2
+    a = np.zeros((30, 30))
+    for x, y in links:
+        a[x, y] = 1
+    share = lambda m: urls.DAMPING * (m / np.maximum(m.sum(axis=1, keepdims=True), 1)).T
+    want = [np.linalg.solve(np.eye(30) - share(m), own.astype(float)) for m, own in ((a, trusted), (a.T, blocked))]
+    found = urls.propagate(
+        spark,
+        spark.createDataFrame([(hosts[x], hosts[y]) for x, y in links], "src string, dst string"),
+        spark.createDataFrame([(h, int(t), int(b)) for h, t, b in zip(hosts, trusted, blocked)], "host string, trusted int, blocked int"),
+    )
+    got = {r.host: (r.trust, r.distrust) for r in found.collect()}
+    for i, h in enumerate(hosts):
+        assert abs(got[h][0] - want[0][i]) < 1e-4 and abs(got[h][1] - want[1][i]) < 1e-4
