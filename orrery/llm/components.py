@@ -14,8 +14,10 @@ from .common import stored
 HEAVY = 1 << 16
 
 
-def _with_least(spark: SparkSession, links: DataFrame) -> DataFrame:
-    """``links`` (a, b) with m, the smallest b of each a."""
+def _with_least(spark: SparkSession, links: DataFrame, most: int) -> DataFrame:
+    """``links`` (a, b), ``most`` or fewer, with m, the smallest b of each a."""
+    if most <= HEAVY:
+        return links.join(links.groupBy("a").agg(F.min("b").alias("m")), "a")
     least = stored(links.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), spark)
     heavy = least.filter(F.col("n") > HEAVY).select("a", "m")
     if not heavy.limit(1).count():
@@ -32,17 +34,17 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     meet in one task. Every round is written to the shared folder, which ends the lineage.
     """
     links = stored(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), spark)
-    before = None
+    before, most = None, 2 * links.count()
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _with_least(spark, both).filter("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).filter("a <> b").distinct()
-        small = _with_least(spark, stored(large, spark))
+        large = _with_least(spark, both, most).filter("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).filter("a <> b").distinct()
+        small = _with_least(spark, large if most <= HEAVY else stored(large, spark), most)
         small = small.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("x")).select("x.*")
         links = stored(small.filter("a <> b").distinct(), spark)
         state = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head())
         if state == before:
             break
-        before = state
+        before, most = state, 2 * state[0]
     roots = links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
 
