@@ -233,7 +233,7 @@ def hard_pairs(sides: DataFrame, deal=None) -> DataFrame:
     """Up to four pairs of train rows per test row, ordered by their true distance from it; ``deal`` adds the places (na, nb)
     of a pair's rows among the train rows."""
     train = running_sum(sides.filter("index % 5 < 3").select("index", "true"), ["index"], F.lit(1), "n").select(F.col("n") + 1, "index", "true").toDF("n", "index", "true")
-    deal = deal or _dealt(train.count())
+    deal = deal or _dealt(sides.filter("index % 5 < 3").count())
     asked = sides.filter("index % 5 = 4").select(F.col("index").alias("query_index"), F.col("true").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("pair_order"))
     asked = deal(asked).filter("na <> nb AND (query_index % 10 <> 9 OR pair_order < 2)")
     both = asked.join(train.toDF("na", "a", "ta"), "na").join(train.toDF("nb", "b", "tb"), "nb")
