@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -109,11 +110,23 @@ def cross_products(df: DataFrame, x: str, y: str, width: int, x_mean=None, y_mea
     return n, total[: d + r], total[d + r : d + r + d * d].reshape(d, d), total[d + r + d * d :].reshape(d, r)
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint: nothing can make these rows be dealt anew."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not at and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(at or tempfile.mkdtemp(prefix="orrery-"))
+    return df.checkpoint(eager=True)
+
+
 def running_sum(rows: DataFrame, order: Sequence[str], value: Column, into: str) -> DataFrame:
     """``rows`` with the sum of ``value`` over all rows before, in the order of columns that have no ties.
 
     Ranges of the order are summed one by one, each from where those before it end; so no task sees all rows, and what
-    reaches the driver is a sum for each partition."""
+    reaches the driver is a sum for each partition. The ranges' bounds come from a sample, which is another one in every plan
+    of a larger table: so rows are dealt once and kept, or sums would belong to other ranges than the rows they are added to."""
     spark = rows.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     names = {"part": "part", "own": "own", "before": "before"}
@@ -122,6 +135,7 @@ def running_sum(rows: DataFrame, order: Sequence[str], value: Column, into: str)
             names[k] += "_"
     part, own, before = names.values()
     ranged = rows.withColumn(own, value.cast("long")).repartitionByRange(n, *order).withColumn(part, F.spark_partition_id())
+    ranged = _kept(ranged)
     sums = sorted((r[part], r["n"]) for r in ranged.groupBy(part).agg(F.sum(own).alias("n")).collect())
     totals = np.concatenate([[0], np.cumsum([x for _, x in sums])[:-1]]) if sums else []
     starts = spark.createDataFrame([(int(p), int(t)) for (p, _), t in zip(sums, totals, strict=True)], f"{part} int, {before} long")
