@@ -9,14 +9,18 @@ from __future__ import annotations
 import gzip
 import hashlib
 import json
+import shutil
 import sqlite3
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import closing
 from pathlib import Path
+from typing import BinaryIO
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -163,9 +167,43 @@ def write_lines(path: Path, rows: Iterable[dict], blank: int = 0) -> str:
     return integrity.stream_sha256(path)
 
 
+def write_files(rows: DataFrame, at: Path, write: Callable[[BinaryIO, Iterator[pa.RecordBatch]], int]) -> list[Path]:
+    """A file of each partition of ``rows``, written by its task; the files in the order of partitions. The driver gets their
+    numbers. A task that is tried again replaces its file by the same one."""
+    at.mkdir(parents=True, exist_ok=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        own = at / f".{part}-{uuid.uuid4().hex}"
+        with open(own, "wb") as f:
+            n = write(f, batches)
+        own.replace(at / f"part-{part:06}")
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n], pa.int64())], ["part", "n"])
+
+    found = rows.mapInArrow(run, "part int, n long").collect()
+    return [at / f"part-{r['part']:06}" for r in sorted(found)]
+
+
+def as_lines(blank: int = 0) -> Callable[[BinaryIO, Iterator[pa.RecordBatch]], int]:
+    """Writes rows as JSON lines, with a blank one after each ``blank`` rows."""
+
+    def write(f: BinaryIO, batches: Iterator[pa.RecordBatch]) -> int:
+        i = 0
+        for b in batches:
+            for r in b.to_pylist():
+                f.write(f"{json.dumps(r)}\n".encode())
+                if blank and i % blank == 0:
+                    f.write(b" \t\n\n")
+                i += 1
+        return i
+
+    return write
+
+
 def json_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents as a folder of files of lines, one for each partition."""
     path = folder(spark) / "documents.jsonl"
-    write_lines(path, (r.asDict() for r in read(spark, sf, "documents").select("doc_id", "lang", "text", "n_chars").toLocalIterator()), blank=3)
+    write_files(read(spark, sf, "documents").select("doc_id", "lang", "text", "n_chars"), path, as_lines(blank=3))
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     return jsonl.read_lines(spark, str(path), schema, exact=True).select("doc_id", "lang", "n_chars", integrity.text_sha256(F.col("text")).alias("text_sha256"))
 
@@ -181,12 +219,44 @@ def json_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def file_hashes(spark: SparkSession, sf: str) -> DataFrame:
-    """A file for each language and source, with the texts in order of id."""
-    root = folder(spark)
+    """A file for each language and source, with the texts in order of id: tasks write their ranges of the order, and a task
+    for each file puts its pieces together."""
+    root, pieces = folder(spark), folder(spark)
     docs = read(spark, sf, "documents").select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text"))
-    for r in docs.orderBy("lang", "source", "doc_id").toLocalIterator():
-        with open(root / f"{r['lang']}-{r['source']}.txt", "ab") as f:
-            f.write(r["text"].encode())
+    ordered = docs.repartitionByRange("lang", "source", "doc_id").sortWithinPartitions("lang", "source", "doc_id")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at, name, f, found = TaskContext.get().partitionId(), uuid.uuid4().hex, None, None, []
+        for b in batches:
+            for lang, source, text in zip(*(b.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
+                if f is None or name != f"{lang}-{source}.txt":
+                    if f:
+                        f.close()
+                    name = f"{lang}-{source}.txt"
+                    f = open(pieces / f"{part}-{len(found)}-{at}", "wb")  # noqa: SIM115
+                    found.append((name, part, f.name))
+                f.write(text.encode())
+        if f:
+            f.close()
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], ["file", "part", "piece"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, own in zip(b.column("file").to_pylist(), b.column("pieces").to_pylist(), strict=True):
+                done = pieces / f".{uuid.uuid4().hex}"
+                with open(done, "wb") as whole:
+                    for piece in own:
+                        with open(piece, "rb") as f:
+                            shutil.copyfileobj(f, whole, 1 << 20)
+                done.replace(root / name)
+            yield b.select(["file"])
+
+    written: dict[str, list[str]] = {}
+    for r in sorted(ordered.mapInArrow(write, "file string, part long, piece string").collect(), key=lambda r: r["part"]):
+        written.setdefault(r["file"], []).append(r["piece"])
+    if written:
+        spark.createDataFrame(list(written.items()), "file string, pieces array<string>").repartition(len(written), "file").mapInArrow(join, "file string").count()
+    shutil.rmtree(pieces)
     found = integrity.file_hashes(spark, str(root), "*.txt")
     return found.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), "sha256")
 
