@@ -8,18 +8,21 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import json
 import shutil
 import sqlite3
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from contextlib import closing
+from contextlib import ExitStack, closing
+from itertools import groupby
 from pathlib import Path
 from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +36,7 @@ from ..operators import hard_negatives, pair_benchmark
 from ..operators.compare import compare_relations
 from ..operators.projection import Projection
 from ..operators.search import search
+from ..operators.statistics import running_sum
 from ..sources import arrays, caches, jsonl, sqlite
 from ..sources.tables import read_parquet as read
 from ..streaming.project import start_projection
@@ -348,58 +352,147 @@ def whole_pairs(rows: DataFrame) -> DataFrame:
     return Q.hard_pairs(rows, lambda asked: asked.withColumn("na", first + 1).withColumn("nb", (first + 1 + (F.col("query_index") * 11 + F.col("pair_order") * 17) % (n - 1)) % n + 1))
 
 
-def write_evidence(spark: SparkSession, sf: str, root: Path, dimensions: int | None = None, predictions: Callable[[dict[str, list]], dict[str, np.ndarray]] | None = None) -> Path:
+def put_together(parts: Iterable[Path], path: Path, start: bytes = b"") -> str:
+    """One file of ``start`` and the files of ``parts``, which go; its hash."""
+    digest = hashlib.sha256(start)
+    path.parent.mkdir(parents=True, exist_ok=True)
+    with open(path, "wb") as whole:
+        whole.write(start)
+        for part in parts:
+            with open(part, "rb") as f:
+                while block := f.read(1 << 20):
+                    digest.update(block)
+                    whole.write(block)
+            part.unlink()
+    return digest.hexdigest()
+
+
+def as_gzip_lines(f: BinaryIO, batches: Iterator[pa.RecordBatch]) -> int:
+    with gzip.GzipFile(fileobj=f, mode="wb", filename="", mtime=0) as z:
+        return as_lines()(z, batches)
+
+
+CACHED = pa.schema([("key", pa.string()), ("source", pa.string()), ("dimensions", pa.int64()), ("raw", pa.binary()), ("payload", pa.string()), ("array", pa.string())])
+
+
+def write_pieces(at: Path, part: int, split: str, batches: Iterable[pa.RecordBatch]) -> int:
+    """The rows (index, tokens, values, predicted, vector) of a split that a task has, in each of its files' formats."""
+    n, name = 0, f"{split}-{part:06}-"
+    own = uuid.uuid4().hex
+    with ExitStack() as files:
+        selected, primitives, matrix, values, predicted, rows = (files.enter_context(open(at / f".{own}-{k}", "wb")) for k in PIECES)
+        cached = files.enter_context(pa.ipc.new_stream(rows, CACHED))
+        for b in batches:
+            index, vectors, measured = b.column("index").to_pylist(), [np.asarray(v.values.to_numpy(), "<f4") for v in b.column("vector")], b.column("values").to_pylist()
+            for i, tokens, v in zip(index, b.column("tokens").to_pylist(), measured, strict=True):
+                selected.write(f"{json.dumps({'stable_key': f'row-{i}', 'code_sha256': f'{i:064d}', 'token_count': tokens})}\n".encode())
+                primitives.write(f"{json.dumps({'stable_key': f'row-{i}', **dict(zip(replay.NAMES, v, strict=True))})}\n".encode())
+            raw = [v.tobytes() for v in vectors]
+            matrix.write(b"".join(raw))
+            values.write(np.array(measured, "<f8").tobytes())
+            predicted.write(np.array(b.column("predicted").to_pylist(), "<f8").tobytes())
+            columns = [f"row-{i}" for i in index], [f"{i:064d}" for i in index], [len(v) for v in vectors], raw, [hashlib.sha256(v).hexdigest() for v in raw], [integrity.array_sha256(v) for v in vectors]
+            cached.write_batch(pa.record_batch([pa.array(c, t) for c, t in zip(columns, CACHED.types, strict=True)], schema=CACHED))
+            n += b.num_rows
+    for k in PIECES:
+        (at / f".{own}-{k}").replace(at / f"{name}{k}")
+    return n
+
+
+PIECES = ("selected", "primitives", "matrix", "values", "predicted", "cached")
+
+
+def write_evidence(spark: SparkSession, sf: str, root: Path, dimensions: int | None = None, predictions: Callable[[dict[str, tuple]], dict[str, np.ndarray]] | None = None) -> Path:
     """A tree of stored evidence of all rows, in order of id within their split; returns its cache. ``dimensions`` cuts the
-    vectors, for fits that have a closed form."""
-    splits: dict[str, list] = {s: [] for s in ("train", "validation", "test")}
-    rows = sides(spark, sf).cache()
-    for r in rows.orderBy("index").toLocalIterator():
-        splits["train" if r["index"] % 5 < 3 else "validation" if r["index"] % 5 == 3 else "test"].append(r)
-    artifacts = {}
-    for split, own in splits.items():
-        a = write_lines(root / replay.SELECTED.format(split), ({"stable_key": f"row-{r['index']}", "code_sha256": f"{r['index']:064d}", "token_count": r["tokens"]} for r in own))
-        b = write_lines(root / replay.PRIMITIVES.format(split), ({"stable_key": f"row-{r['index']}", **dict(zip(replay.NAMES, r["values"], strict=True))} for r in own))
-        artifacts[split] = {"selected_manifest": {"sha256": a, "rows": len(own)}, "primitive_table": {"sha256": b, "rows": len(own)}}
+    vectors, for fits that have a closed form; ``predictions`` makes such a fit from each split's matrix and values.
+
+    Tasks write the pieces of each file, and the driver puts them together, as bytes; rows don't go through it, but for those
+    of the cache, which SQLite wants from one writer, and which it reads from the pieces batch by batch."""
+    number = F.when(F.col("index") % 5 < 3, 0).when(F.col("index") % 5 == 3, 1).otherwise(2)
+    rows = sides(spark, sf).withColumn("split", number).cache()
+    d = dimensions or rows.select(F.size("embedding")).head()[0]
+    pieces = folder(spark)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, parts = TaskContext.get().partitionId(), (b.filter(pc.equal(b.column("split"), s)) for b in batches for s in sorted(set(b.column("split").to_pylist())))
+        for s, own in groupby(parts, lambda b: b.column("split")[0].as_py()):
+            yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([part]), pa.array([write_pieces(pieces, part, replay.SPLITS[s], own)])], ["split", "part", "n"])
+
+    ordered = rows.select("split", "index", "tokens", "values", "predicted", F.slice("embedding", 1, d).cast("array<float>").alias("vector")).repartitionByRange("split", "index").sortWithinPartitions("split", "index")
+    written = sorted(ordered.mapInArrow(write, "split long, part long, n long").collect())
+    sizes = {s: sum(r["n"] for r in written if replay.SPLITS[r["split"]] == s) for s in replay.SPLITS}
+
+    def whole(split: str, kind: str, at: Path | None = None) -> tuple[Path, str]:
+        path = at or pieces / f"{split}-{kind}"
+        return path, put_together((pieces / f"{split}-{r['part']:06}-{kind}" for r in written if replay.SPLITS[r["split"]] == split), path)
+
+    artifacts, arrays_sha, values = {}, {}, {}
+    for split, n in sizes.items():
+        a, b = (whole(split, k, root / name.format(split))[1] for k, name in (("selected", replay.SELECTED), ("primitives", replay.PRIMITIVES)))
+        artifacts[split] = {"selected_manifest": {"sha256": a, "rows": n}, "primitive_table": {"sha256": b, "rows": n}}
+        matrix = whole(split, "matrix")[0]
+        arrays_sha[split] = _array_file_sha256(matrix, "float32", (n, d))
+        if predictions:
+            values[split] = np.fromfile(matrix, "<f4").reshape(n, d).astype(float), np.fromfile(whole(split, "values")[0], "<f8").reshape(n, len(replay.NAMES))
 
     def record(name: str, content: dict) -> None:
         jsonl.write_report({"status": replay.STATES[name]} | content, root / name)
 
     record(replay.SELECTION, {"artifacts": artifacts})
-    matrices = {s: np.array([r["embedding"][:dimensions] for r in own], np.float32) for s, own in splits.items()}
-    record(replay.EMBEDDINGS, {"splits": {s: {"dimensions": m.shape[1], "array_sha256": integrity.array_sha256(m), "extraction_fingerprint_sha256": FINGERPRINT} for s, m in matrices.items()}})
+    record(replay.EMBEDDINGS, {"splits": {s: {"dimensions": d, "array_sha256": sha, "extraction_fingerprint_sha256": FINGERPRINT} for s, sha in arrays_sha.items()}})
     with closing(sqlite3.connect(root / "cache.sqlite3")) as c:
         c.execute(f"CREATE TABLE {caches.CACHE_TABLE} (stable_key TEXT, source_sha256 TEXT, extraction_fingerprint_sha256 TEXT, dtype TEXT, dimensions INTEGER, embedding BLOB, payload_sha256 TEXT, array_sha256 TEXT)")
-        for split, own in splits.items():
-            for r, v in zip(own, matrices[split], strict=True):
-                raw = v.tobytes()
-                c.execute(f"INSERT INTO {caches.CACHE_TABLE} VALUES (?, ?, ?, 'float32', ?, ?, ?, ?)", (f"row-{r['index']}", f"{r['index']:064d}", FINGERPRINT, len(v), raw, hashlib.sha256(raw).hexdigest(), integrity.array_sha256(v)))
+        for r in written:
+            with open(pieces / f"{replay.SPLITS[r['split']]}-{r['part']:06}-cached", "rb") as f, pa.ipc.open_stream(f) as batches:
+                for batch in batches:
+                    c.executemany(f"INSERT INTO {caches.CACHE_TABLE} VALUES (?, ?, '{FINGERPRINT}', 'float32', ?, ?, ?, ?)", zip(*(x.to_pylist() for x in batch.columns), strict=True))
         c.commit()
-    predicted = predictions(splits) if predictions else {s: np.array([r["predicted"] for r in splits[s]]) for s in replay.PREDICTIONS}
-    hashes = {}
+    fitted, hashes = predictions(values) if predictions else {}, {}
     for split, (role, name) in replay.PREDICTIONS.items():
-        (root / name).parent.mkdir(parents=True, exist_ok=True)
-        np.save(root / name, predicted[split])
-        hashes[role] = {"file_sha256": integrity.stream_sha256(root / name), "array_sha256": integrity.array_sha256(predicted[split])}
+        path = root / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        if fitted:
+            np.save(path, fitted[split])
+            sha = integrity.array_sha256(fitted[split])
+        else:
+            raw = whole(split, "predicted")[0]
+            header, shape = io.BytesIO(), (sizes[split], len(replay.NAMES))
+            np.lib.format.write_array_header_1_0(header, {"descr": "<f8", "fortran_order": False, "shape": shape})
+            sha = _array_file_sha256(raw, "float64", shape)
+            put_together([raw], path, header.getvalue())
+        hashes[role] = {"file_sha256": integrity.stream_sha256(path), "array_sha256": sha}
     record(replay.PROBES, {"predictions": hashes})
     record(replay.PROBE_BUNDLE, {"contract": {"primitives": {n: {"selected_alpha": 1.0} for n in replay.NAMES}}})
-    place = {s: {r["index"]: i for i, r in enumerate(own)} for s, own in splits.items()}
-    pairs = whole_pairs(rows).orderBy("query_index", "pair_order").collect()
-    counts = dict.fromkeys(place["test"], 0)
-    for p in pairs:
-        counts[p["query_index"]] += 1
-    queries = write_lines(root / replay.QUERIES, ({"selected_pair_count": n} for n in counts.values()))
-    lines = "".join(
-        json.dumps({"query_index": place["test"][p["query_index"]], "pair_order": p["pair_order"], "query_stable_key": f"row-{p['query_index']}", "closer_candidate_index": place["train"][p["closer_index"]], "farther_candidate_index": place["train"][p["farther_index"]], "closer_stable_key": f"row-{p['closer_index']}", "farther_stable_key": f"row-{p['farther_index']}"}) + "\n"
-        for p in pairs
-    ).encode()
-    (root / replay.PAIRS).write_bytes(gzip.compress(lines))
-    record(replay.HARD_NEGATIVES, {"artifacts": {"queries": {"file_sha256": queries}, "pairs": {"file_sha256": integrity.stream_sha256(root / replay.PAIRS), "uncompressed_file_sha256": hashlib.sha256(lines).hexdigest()}}})
-    scores = hard_negatives.query_scores(whole_pairs(rows), rows.filter("index % 5 = 4"), rows.filter("index % 5 < 3"))
+    pairs = whole_pairs(rows).cache()
+    places = running_sum(rows.select("split", "index"), ["split", "index"], F.lit(1), "place")
+    place = {"train": places.filter("split = 0"), "test": places.filter("split = 2").withColumn("place", F.col("place") - sizes["train"] - sizes["validation"])}
+    counted = place["test"].join(pairs.groupBy(F.col("query_index").alias("index")).agg(F.count("*").alias("n")), "index", "left")
+    counted = counted.repartitionByRange("place").sortWithinPartitions("place").select(F.coalesce("n", F.lit(0)).alias("selected_pair_count"))
+    queries = put_together(write_files(counted, pieces / "queries", as_lines()), root / replay.QUERIES)
+    at = lambda s, role: place[s].select(F.col("index").alias(f"{role}_index"), F.col("place").alias(role))
+    placed = pairs.join(at("test", "query"), "query_index").join(at("train", "closer"), "closer_index").join(at("train", "farther"), "farther_index")
+    keys = [F.concat(F.lit("row-"), f"{role}_index").alias(f"{role}_stable_key") for role in ("query", "closer", "farther")]
+    placed = placed.repartitionByRange("query", "pair_order").sortWithinPartitions("query", "pair_order")
+    placed = placed.select(F.col("query").alias("query_index"), "pair_order", keys[0], F.col("closer").alias("closer_candidate_index"), F.col("farther").alias("farther_candidate_index"), *keys[1:])
+    archive = put_together(write_files(placed, pieces / "pairs", as_gzip_lines), root / replay.PAIRS)
+    record(replay.HARD_NEGATIVES, {"artifacts": {"queries": {"file_sha256": queries}, "pairs": {"file_sha256": archive, "uncompressed_file_sha256": integrity.stream_sha256(root / replay.PAIRS, gzip.open)}}})
+    scores = hard_negatives.query_scores(pairs, rows.filter("split = 2"), rows.filter("split = 0"))
     record(replay.PUBLISHED, {"scientific_decision": hard_negatives.decision(scores).head().asDict(recursive=True)})
+    pairs.unpersist()
     rows.unpersist()
+    shutil.rmtree(pieces)
     return root / "cache.sqlite3"
 
 
+def _array_file_sha256(path: Path, dtype: str, shape: tuple[int, ...]) -> str:
+    """As ``integrity.array_sha256``, of the bytes in a file."""
+    digest = hashlib.sha256(integrity.array_header(dtype, shape))
+    with open(path, "rb") as f:
+        while block := f.read(1 << 20):
+            digest.update(block)
+    return digest.hexdigest()
+
+
 def selection_rows(spark: SparkSession, sf: str) -> DataFrame:
     """The selected rows of all splits, their values scaled by those of train."""
     root = folder(spark)
@@ -441,12 +534,12 @@ def replayed_decision(spark: SparkSession, sf: str) -> DataFrame:
 def exported_projection(spark: SparkSession, sf: str) -> DataFrame:
     """Coordinates of the test rows by the exported archive, refitted on the first two dimensions and verified."""
 
-    def predictions(splits: dict[str, list]) -> dict[str, np.ndarray]:
-        x, y = (np.array([r[c][:n] for r in splits["train"]], float) for c, n in (("embedding", 2), ("values", None)))
+    def predictions(splits: dict[str, tuple]) -> dict[str, np.ndarray]:
+        x, y = splits["train"]
         q25, median, q75 = np.percentile(y, (25, 50, 75), axis=0)
         z, xc = (y - median) / np.maximum(q75 - q25, 1.0), x - x.mean(axis=0)
         w = np.linalg.solve(xc.T @ xc + np.eye(2), xc.T @ (z - z.mean(axis=0)))
-        return {s: np.array([r["embedding"][:2] for r in splits[s]]) @ w + (z.mean(axis=0) - x.mean(axis=0) @ w) for s in replay.PREDICTIONS}
+        return {s: splits[s][0] @ w + (z.mean(axis=0) - x.mean(axis=0) @ w) for s in replay.PREDICTIONS}
 
     root = folder(spark)
     path = write_evidence(spark, sf, root, 2, predictions)

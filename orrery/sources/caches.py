@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,15 +90,31 @@ def cached_rows(manifest: DataFrame, cache: DataFrame, fingerprint: str, dimensi
     return rows.select("ordinal", "stable_key", "vector", fault.alias("fault"))
 
 
-def verified_matrix(rows: DataFrame, dimensions: int, expected_sha256: str, where: str) -> np.ndarray:
-    """The rows' matrix in manifest order, after its hash is checked. What is replayed from files is of a size that a
-    driver holds; the hash of a whole matrix needs its bytes in order."""
+def verified_rows(rows: DataFrame, dimensions: int, expected_sha256: str, where: str) -> int:
+    """The number of rows, after the hash of their matrix in manifest order is checked. Such a hash needs all bytes in order,
+    so one task takes it, over chunks that others have sorted; the driver gets the hash."""
     bad = rows.filter("fault IS NOT NULL").orderBy("ordinal").limit(5).collect()
     if bad:
         lost = [r["stable_key"] for r in bad if r["fault"] == "missing"]
         raise ReplayError(f"{where} lacks rows, the first are {lost}" if lost else f"{where}: {bad[0]['fault']} of {bad[0]['stable_key']}")
-    found = [r["vector"] for r in rows.orderBy("ordinal").select("vector").collect()]
-    matrix = np.array(found, dtype=np.float32).reshape(len(found), dimensions)
-    if integrity.array_sha256(matrix) != expected_sha256:
+    n = rows.count()
+    header = integrity.array_header("float32", (n, dimensions))
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                raw = b.column("vector").flatten().to_numpy(zero_copy_only=False).astype("<f4").tobytes()
+                yield pa.RecordBatch.from_arrays([b.column("ordinal").slice(0, 1), pa.array([raw], pa.binary())], ["ordinal", "raw"])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = hashlib.sha256(header)
+        for b in batches:
+            for raw in b.column("raw"):
+                digest.update(raw.as_buffer())
+        yield pa.RecordBatch.from_arrays([pa.array([digest.hexdigest()])], ["sha"])
+
+    ordered = rows.select("ordinal", "vector").repartitionByRange("ordinal").sortWithinPartitions("ordinal")
+    found = ordered.mapInArrow(chunks, "ordinal long, raw binary").repartition(1).sortWithinPartitions("ordinal").mapInArrow(hashed, "sha string").collect()
+    if (found[0]["sha"] if found else hashlib.sha256(header).hexdigest()) != expected_sha256:
         raise ReplayError(f"{where}: the matrix doesn't have the recorded hash")
-    return matrix
+    return n

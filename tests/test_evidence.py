@@ -16,9 +16,11 @@ def closed(monkeypatch):
     monkeypatch.setattr("pyspark.sql.classic.dataframe.DataFrame.toLocalIterator", refuse)
 
 
-@pytest.mark.parametrize("name", ["json_lines", "file_hashes"])
+@pytest.mark.parametrize("name", ["json_lines", "file_hashes", "selection_rows", "exported_projection"])
 def test_files_are_written_by_tasks(spark, sf, closed, name):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     want = con.sql(evidence_sql.SQL[name])
-    assert sorted(map(tuple, evidence.QUERIES[name](spark, sf).select(*want.columns).collect()), key=str) == sorted(want.fetchall(), key=str)
+    got = sorted(map(tuple, evidence.QUERIES[name](spark, sf).select(*want.columns).collect()), key=str)
+    assert len(got) and [tuple(pytest.approx(v, abs=2e-6) if isinstance(v, float) else v for v in r) for r in sorted(want.fetchall(), key=str)] == got
