@@ -10,19 +10,23 @@ from .statistics import running_sum
 EPSILON = 2.220446049250313e-16
 
 
-def binary_metrics(rows: DataFrame) -> DataFrame:
-    """One row: accuracy, balanced_accuracy, f1, roc_auc, log_loss of columns y and p; predictions are p >= 0.5."""
+def rates(rows: DataFrame) -> DataFrame:
+    """One row: accuracy, balanced_accuracy, f1, log_loss of columns y and p, in one pass; predictions are p >= 0.5."""
     hit = (F.col("p") >= 0.5).cast("int")
     tp, fp = F.sum(F.col("y") * hit), F.sum((1 - F.col("y")) * hit)
     pos, neg = F.sum(F.col("y")), F.sum(1 - F.col("y"))
     inside = F.greatest(F.lit(EPSILON), F.least(F.lit(1 - EPSILON), F.col("p")))
-    plain = rows.agg(
+    return rows.agg(
         ((tp + neg - fp) / F.count("*")).alias("accuracy"),
         ((F.try_divide(tp, pos) + F.try_divide(neg - fp, neg)) / 2).alias("balanced_accuracy"),
         F.coalesce(F.try_divide(2.0 * tp, tp + fp + pos), F.lit(0.0)).alias("f1"),
         (-F.avg(F.col("y") * F.ln(inside) + (1 - F.col("y")) * F.ln(1 - inside))).alias("log_loss"),
     )
-    return plain.crossJoin(F.broadcast(roc_auc(rows))).select("accuracy", "balanced_accuracy", "f1", "roc_auc", "log_loss")
+
+
+def binary_metrics(rows: DataFrame) -> DataFrame:
+    """``rates``, and roc_auc before the last."""
+    return rates(rows).crossJoin(F.broadcast(roc_auc(rows))).select("accuracy", "balanced_accuracy", "f1", "roc_auc", "log_loss")
 
 
 def roc_auc(rows: DataFrame) -> DataFrame:

@@ -17,8 +17,8 @@ from ..functions import integrity
 from ..functions import vectors as V
 from ..sources import jsonl
 from ..sources.arrays import SNAPSHOT_KEYS
-from .metrics import binary_metrics
-from .statistics import running_sum
+from .metrics import binary_metrics, rates
+from .statistics import MERGE_TASKS, running_sum
 
 # Fixed values of the benchmark.
 SPLITS = ("train", "validation", "test")
@@ -100,10 +100,17 @@ def pair_table(pairs: DataFrame, snapshot: DataFrame) -> DataFrame:
     return joined.select("example_id", "split", F.col("label").alias("y"), *[c.alias(n) for n, c in V.pair_features(F.col("l"), F.col("r")).items()])
 
 
+def few_tasks(rows: DataFrame) -> DataFrame:
+    """``rows`` in no more partitions than keep all cores busy. A fit makes a dozen passes or more, and every task of each
+    tells the driver some kilobytes: so their number must not follow the table."""
+    return rows.coalesce(max(MERGE_TASKS, rows.sparkSession.sparkContext.defaultParallelism))
+
+
 class PairModel:
     """Standardised features (population deviation, 1 where it is 0), then logistic regression with an L2 penalty alpha."""
 
     def __init__(self, rows: DataFrame, feature: str, alpha: float):
+        rows = few_tasks(rows)
         at = F.posexplode(feature).alias("i", "v")
         stats = sorted(rows.select(at).groupBy("i").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).collect())
         self.feature, self.mean, self.scale = feature, [r["m"] for r in stats], [r["s"] or 1.0 for r in stats]
@@ -127,7 +134,8 @@ def shuffled(rows: DataFrame, seed: int) -> DataFrame:
 def evaluate(table: DataFrame, seed: int) -> list[PairScore]:
     """For each feature set the penalty with the best validation accuracy (of equals the least), fitted on train and
     validation, scored on test; then the control."""
-    table = table.cache()
+    kept = table.cache()
+    table = few_tasks(kept)
     train, validation, test = (table.filter(F.col("split") == s) for s in SPLITS)
     both = table.filter(F.col("split") != "test")
 
@@ -136,12 +144,12 @@ def evaluate(table: DataFrame, seed: int) -> list[PairScore]:
 
     found = []
     for name in FEATURES:
-        tried = [(binary_metrics(PairModel(train, name, a).scores(validation)).head()["balanced_accuracy"], -a) for a in ALPHAS]
+        tried = [(rates(PairModel(train, name, a).scores(validation)).head()["balanced_accuracy"], -a) for a in ALPHAS]
         valid, alpha = max(tried)
         found.append(score(name, -alpha, valid, PairModel(both, name, -alpha)))
     alpha = found[-1].selected_alpha
     found.append(score(SHUFFLED, alpha, None, PairModel(shuffled(both, seed), FEATURES[-1], alpha)))
-    table.unpersist()
+    kept.unpersist()
     return found
 
 

@@ -7,6 +7,7 @@ import pytest
 from orrery import cli
 from orrery.errors import ReplayError
 from orrery.functions.integrity import canonical_json_sha256
+from orrery.operators import metrics
 from orrery.operators import pair_benchmark as pb
 
 
@@ -76,3 +77,40 @@ def test_shuffled_labels_are_a_permutation(spark):
     rows = sorted(pb.shuffled(df, 5).select("example_id", "y").collect())
     assert len(rows) == 100 and sum(r.y for r in rows) == 50 and [r.y for r in rows] != [i % 2 for i in range(100)]
     assert rows == sorted(pb.shuffled(df, 5).select("example_id", "y").collect())
+
+
+def tasks_of(spark, run):
+    """What ``run`` returns, and the number of tasks that each of its stages ran."""
+    context = spark.sparkContext
+    context.setJobGroup("counted", "")
+    try:
+        result = run()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    jobs, status = context._jsc.sc().statusTracker(), context.statusTracker()
+    stages = {s for j in jobs.getJobIdsForGroup("counted") for s in status.getJobInfo(j).stageIds}
+    return result, [info.numCompletedTasks for s in stages if (info := status.getStageInfo(s))]
+
+
+def test_tasks_of_a_fit_do_not_follow_the_table(spark, monkeypatch):
+    monkeypatch.setattr(pb, "FEATURES", ("Cosine only",))
+    monkeypatch.setattr(pb, "ALPHAS", (1e-2,))
+    most = max(16, spark.sparkContext.defaultParallelism)
+    data = [(f"e{i}", pb.SPLITS[i % 3], int(i % 7 < 3 + i % 2), [i % 11 / 10]) for i in range(600)]
+    df = spark.createDataFrame(data, "example_id string, split string, y int, `Cosine only` array<float>")
+    spread, close = df.repartition(6 * most).cache(), df.repartition(2).cache()
+    assert spread.count() == close.count()
+    (found, tasks), same = tasks_of(spark, lambda: pb.PairModel(spread, "Cosine only", 1e-2).model), pb.PairModel(close, "Cosine only", 1e-2).model
+    assert len(tasks) > 5 and max(tasks) <= most
+    assert [*found.coefficients, found.intercept] == pytest.approx([*same.coefficients, same.intercept], abs=1e-7)
+    (found, tasks), same = tasks_of(spark, lambda: pb.evaluate(df.repartition(6 * most + 1), 118)), pb.evaluate(close, 118)
+    assert len(tasks) > 20 and sum(n > most for n in tasks) <= 3  # the table is cached once, and the control deals its rows out twice
+    for a, b in zip(found, same, strict=True):
+        assert vars(a) == pytest.approx(vars(b), abs=1e-7)
+
+
+def test_rates_are_the_metrics_without_the_area(spark):
+    df = spark.createDataFrame([(i % 2, i * 37 % 101 / 101) for i in range(50)], "y int, p double")
+    whole = metrics.binary_metrics(df).head().asDict()
+    assert list(whole) == ["accuracy", "balanced_accuracy", "f1", "roc_auc", "log_loss"]
+    assert metrics.rates(df).head().asDict() == {k: v for k, v in whole.items() if k != "roc_auc"}
